@@ -28,7 +28,7 @@ def runs(values: Column) -> Column:
 
     Sorts (value, position) pairs and measures run lengths, O(n log n).
     """
-    pairs = F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("pos"))))
+    pairs = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("pos"))))
 
     def measure(s: Column) -> Column:
         starts = F.filter(
@@ -49,10 +49,16 @@ def runs(values: Column) -> Column:
     return let(pairs, measure)
 
 
-def top_by_count(values: Column, k: int) -> Column:
-    """The ``k`` most frequent values; equal counts keep first-occurrence order."""
-    ranked = F.array_sort(
-        F.transform(runs(values), lambda r: F.struct((-r["n"]).alias("n"), r["pos"], r["v"]))
+def top_by_count(values: Column, k: int, keep: Callable[[Column], Column] | None = None) -> Column:
+    """The ``k`` most frequent values; equal counts keep first-occurrence order.
+
+    ``keep`` filters distinct values, after counting, so it runs once per value.
+    """
+    found = runs(values)
+    if keep is not None:
+        found = F.filter(found, lambda r: keep(r["v"]))
+    ranked = F.sort_array(
+        F.transform(found, lambda r: F.struct((-r["n"]).alias("n"), r["pos"], r["v"]))
     )
     return F.transform(F.slice(ranked, 1, k), lambda r: r["v"])
 
@@ -60,7 +66,7 @@ def top_by_count(values: Column, k: int) -> Column:
 def repeated(values: Column, times: int) -> Column:
     """Distinct values that occur at least ``times`` times."""
     return let(
-        F.array_sort(values),
+        F.sort_array(values),
         lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + (times - 1)))),
     )
 

@@ -9,8 +9,8 @@ from . import arrays
 # The whitespace removed by a Unicode-aware strip.
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "    　"
 )
 WS_SET = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -61,29 +61,28 @@ def tokens(c: Column, shortest: int = 3) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD}{{{shortest},}})"), 1)
 
 
-def _meaningful(toks: Column, stop: tuple[str, ...], longest: int | None) -> Column:
+def _meaningful(stop: tuple[str, ...], longest: int | None):
+    """Test for one token: no number, no stop word, not too long."""
+    stops = F.array(*[F.lit(s) for s in stop])
+
     def keep(t: Column) -> Column:
         ok = ~t.rlike(r"^\p{Nd}+$")
         if longest:
             ok = ok & (F.length(t) <= longest)
-        return ok
+        return ok & ~F.array_contains(stops, t) if stop else ok
 
-    kept = F.filter(toks, keep)
-    if stop:
-        stops = F.array(*[F.lit(s) for s in stop])
-        kept = F.filter(kept, lambda t: ~F.array_contains(stops, t))
-    return kept
+    return keep
 
 
 def keywords(
     c: Column, k: int, stop: tuple[str, ...] = (), shortest: int = 3, longest: int | None = None
 ) -> Column:
     """Top ``k`` keywords by frequency, ties by first occurrence."""
-    return arrays.top_by_count(_meaningful(tokens(c, shortest), stop, longest), k)
+    return arrays.top_by_count(tokens(c, shortest), k, _meaningful(stop, longest))
 
 
 def keyword_set(c: Column, stop: tuple[str, ...] = ()) -> Column:
-    return F.array_distinct(_meaningful(tokens(c), stop, None))
+    return F.filter(F.array_distinct(tokens(c)), _meaningful(stop, None))
 
 
 def numbers(c: Column) -> Column:

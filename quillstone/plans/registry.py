@@ -29,4 +29,17 @@ def query(name: str, covers: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table.
+
+    A file that gives fewer splits than there are cores (small tables with one
+    row group) is spread over the cores; at scale the scan's own splits are used.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in WIDE_ROWS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+# Tables whose rows carry whole texts, where one split would keep one core busy.
+WIDE_ROWS = ("documents", "pages", "conversations")
