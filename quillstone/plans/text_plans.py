@@ -254,11 +254,11 @@ def size_estimates(spark, sf):
 
 def _keyword_query(name: str, k: int, stop, shortest: int = 3, longest=None):
     @query(f"keywords_{name}", "K1", f"WITH {S.keywords('kw', 'documents', 'doc_id', 'text', k, stop, shortest, longest)} "
-           "SELECT id AS doc_id, string_agg(kw, ' ' ORDER BY r) AS keywords, count(*) AS n FROM kw GROUP BY id")
+           "SELECT doc_id, coalesce(string_agg(kw, ' ' ORDER BY r), '') AS keywords, count(kw) AS n FROM documents LEFT JOIN kw ON id = doc_id GROUP BY doc_id")
     def run(spark, sf):
         kw = T.keywords(F.col("text"), k, tuple(stop), shortest, longest)
         d = table(spark, sf, "documents").select("doc_id", kw.alias("k"))
-        return d.filter(F.size("k") > 0).select(
+        return d.select(
             "doc_id", F.array_join("k", " ").alias("keywords"), F.size("k").cast("long").alias("n"))
 
 
@@ -270,10 +270,10 @@ _keyword_query("baseline", 20, (), 4, 30)
 
 
 @query("keyword_sets", "K2", f"""WITH {S.keyword_set('kw', 'documents', 'doc_id', 'text', K.STOP_DEDUP)}
-SELECT id AS doc_id, count(*) AS n, string_agg(kw, ' ' ORDER BY kw) AS keywords FROM kw GROUP BY id""")
+SELECT doc_id, count(kw) AS n, coalesce(string_agg(kw, ' ' ORDER BY kw), '') AS keywords FROM documents LEFT JOIN kw ON id = doc_id GROUP BY doc_id""")
 def keyword_sets(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", T.keyword_set(F.col("text"), tuple(K.STOP_DEDUP)).alias("k"))
-    return d.filter(F.size("k") > 0).select("doc_id", F.size("k").cast("long").alias("n"), F.array_join(F.array_sort("k"), " ").alias("keywords"))
+    return d.select("doc_id", F.size("k").cast("long").alias("n"), F.array_join(F.sort_array("k"), " ").alias("keywords"))
 
 
 @query("numbers_and_negation", "K5 K6", f"""
