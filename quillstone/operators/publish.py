@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranking import ranked
+from .urls import top_rows
 
 
 def top_labels(df: DataFrame, group: str, ord_: str, label: str, n: int) -> DataFrame:
     """First ``n`` non-empty labels per group in order, joined with ', '.
 
-    The ranking splits hot groups; at most ``n`` labels per group are gathered.
+    The group limit applies before the shuffle; at most ``n`` labels per group are gathered.
     """
-    kept = ranked(df.filter(F.length(label) > 0), [F.col(ord_)], "_r", [group]).filter(F.col("_r") <= n)
+    kept = top_rows(df.filter(F.length(label) > 0), [group], [F.col(ord_)], n, "_r")
     return kept.groupBy(group).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_r", label))), lambda x: x[label]), ", "
+            F.transform(F.sort_array(F.collect_list(F.struct("_r", label))), lambda x: x[label]), ", "
         ).alias("labels")
     )

@@ -219,8 +219,7 @@ def _render(node, lines) -> None:
     elif tag in ("ul", "ol"):
         items = [_inline(k) for k in node.kids if isinstance(k, _Node) and k.tag == "li"]
         marks = (f"{i}." if tag == "ol" else "-" for i in range(1, len(items) + 1))
-        block = [""] + [f"{m} {t}" for m, t in zip(marks, items) if t][:] or [""]
-        block = block[1:] or [""]
+        block = [f"{m} {t}" for m, t in zip(marks, items) if t]
     elif tag == "pre":
         code = next((n for n in node.walk() if n.tag == "code"), node)
         block = ["```", code.text(strip=False).strip(), "```"]

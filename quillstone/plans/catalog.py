@@ -1,4 +1,4 @@
 """Imports every plan module so that its queries are registered."""
 
-from . import text_plans  # noqa: F401
+from . import ingest_plans, text_plans  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES  # noqa: F401
