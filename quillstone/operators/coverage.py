@@ -125,3 +125,17 @@ def topic_files(topics: DataFrame, topic: str, order: str, file: str) -> DataFra
         .agg(F.min(order).alias("_first"))
     )
     return ranked(seen, [F.col("_first")], "pos", ["topic_key"]).drop("_first")
+
+
+MAX_REFERENCE = 30_000
+
+
+def baseline_summary(refs: DataFrame, group: str, ord_: str, content: str, ok: Column) -> DataFrame:
+    """One row per baseline: references, token totals, crawl counts, truncations, first file name."""
+    words = T.word_count(F.col(content))
+    name = F.concat(F.format_string("ref_%03d_", F.col(ord_) + 1), F.col(group), F.lit(".md"))
+    return refs.groupBy(group).agg(
+        F.count("*").alias("refs"), F.sum(T.estimate_tokens(F.col(content))).alias("total_tokens"),
+        F.floor(F.sum(words * F.lit(1.3))).cast("long").alias("word_tokens"),
+        F.count(F.when(ok, 1)).alias("crawled_ok"), F.count(F.when(~ok, 1)).alias("crawled_fail"),
+        F.count(F.when(F.length(content) > MAX_REFERENCE, 1)).alias("truncated"), F.min(name).alias("first_name"))

@@ -115,3 +115,13 @@ def verdict_counters(done: DataFrame) -> DataFrame:
         F.count(F.when(~flagged, 1)).alias("verified_count"), F.count(F.when(flagged, 1)).alias("flagged_count"),
         F.count(F.when(F.col("is_fallback"), 1)).alias("fallback_count"),
     )
+
+
+def stratified_holdout(items: DataFrame, key: str, cls: str, share: float = 0.4, seed: str = "42") -> DataFrame:
+    """Add ``split``: per class a deterministic share, at least one row, goes to test."""
+    from .ranking import ranked
+
+    order = [F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), F.col(key)]
+    sizes = items.groupBy(cls).agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_test"))
+    return ranked(items, order, "_n", [cls]).join(sizes, cls).withColumn(
+        "split", F.when(F.col("_n") <= F.col("_test"), "test").otherwise("train")).drop("_n", "_test")
