@@ -152,8 +152,11 @@ def noted_score(note: Column) -> Column:
 
 def snippet(text: Column, needles: Column, context: int = 200) -> Column:
     """struct<snippet, start, end> around the first needle (in list order) that occurs."""
-    low = F.lower(text)
-    hits = F.filter(F.transform(needles, lambda n: F.instr(low, n) - 1), lambda p: p >= 0)
+    # The lowered text is bound once, not once per needle.
+    hits = arrays.let(
+        F.lower(text),
+        lambda low: F.filter(F.transform(needles, lambda n: F.instr(low, n) - 1), lambda p: p >= 0),
+    )
     size = F.length(text)
 
     def cut(at: Column) -> Column:

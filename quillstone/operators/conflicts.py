@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ranking import ranked
-from .urls import top_rows  # noqa: F401
 
 MERGEABLE = ("duplicate", "minor_variation", "overlap")
 
@@ -17,15 +16,15 @@ def materialise_conflicts(conflicts: DataFrame, atoms: DataFrame, order: str) ->
             F.col("id").alias(f"{s}_id"), F.col("title").alias(f"_{s}_title"), F.col("content").alias(f"_{s}_content"),
             F.col("source").alias(f"{s}_source"))
 
-    joined = conflicts.join(side("a"), "a_id", "left").join(side("b"), "b_id", "left")
-    filled = joined.withColumns({
+    # Numbered while the rows are still narrow.
+    numbered = ranked(conflicts, [F.col(order)], "_n").withColumn("conflict_id", F.format_string("conflict_%03d", "_n")).drop("_n")
+    joined = numbered.join(side("a"), "a_id", "left").join(side("b"), "b_id", "left")
+    return joined.withColumns({
         **{f"{s}_title": F.coalesce(f"_{s}_title", F.lit("Unknown")) for s in "ab"},
         **{f"{s}_content": F.coalesce(f"_{s}_content", F.lit("")) for s in "ab"},
         "conflict_type": F.coalesce("conflict_type", F.lit("contradictory_data")),
         "description": F.coalesce("description", F.lit("")),
     }).drop("_a_title", "_a_content", "_b_title", "_b_content")
-    return ranked(filled, [F.col(order)], "_n").withColumn(
-        "conflict_id", F.format_string("conflict_%03d", "_n")).drop("_n")
 
 
 def auto_resolve(conflicts: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays, constants as K, text as T
+from ..session import materialise
 from .matching import best_reference, word_tokens
 from .ranking import ranked
 
 
 def match_topics(topics: DataFrame, key: str, topic: str, refs: DataFrame, ref: str, content: str) -> DataFrame:
     """Per topic: found (two keywords or more), best reference, number of matches."""
-    items = topics.select(key, T.keywords(F.col(topic), 8, tuple(K.STOP_AUDIT)).alias("_kws"))
+    items = materialise(topics.select(key, T.keywords(F.col(topic), 8, tuple(K.STOP_AUDIT)).alias("_kws")), "keywords")
     best = best_reference(items, key, "_kws", refs, ref, word_tokens(F.col(content)))
     return topics.join(best, key, "left").select(
         *topics.columns,
@@ -84,13 +85,13 @@ def gap_excerpts(topics: DataFrame, key: str, topic: str, refs: DataFrame, ref:
     """
     kws = T.keywords(F.col(topic), 8, tuple(K.STOP_EXTRACT))
     ordered = ranked(refs, [F.length(content), F.col(ref)], "_rank")
-    items = topics.select(key, kws.alias("_kws"))
+    items = materialise(topics.select(key, kws.alias("_kws")), "keywords")
     best = best_reference(items, key, "_kws", ordered, "_rank", word_tokens(F.col(content)))
     joined = best.join(items, key).join(ordered, "_rank")
-    low = F.lower(F.col(content))
-    first = F.array_min(F.filter(
-        F.transform("_kws", lambda k: F.instr(low, k) - 1), lambda p: p >= 0
-    ))
+    first = arrays.let(
+        F.lower(content),
+        lambda low: F.array_min(F.filter(F.transform("_kws", lambda k: F.instr(low, k) - 1), lambda p: p >= 0)),
+    )
     start = F.greatest(F.lit(0), first - size // 2)
     return joined.select(
         key, ref, F.col("n").alias("match_count"),

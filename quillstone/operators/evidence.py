@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, text as T
+from ..session import materialise
 from .matching import best_reference, matched_keywords, word_tokens
 from .ranking import exact_sample
 
@@ -13,7 +14,8 @@ STRONG, WEAK = 70.0, 40.0
 
 def search(atoms: DataFrame, key: str, text: str, refs: DataFrame, ref: str, path: str, content: str) -> DataFrame:
     """Keyword evidence per atom: best reference, score, band, snippet, matched keywords."""
-    items = atoms.select(key, T.keywords(F.col(text), 10, tuple(K.STOP_VERIFY)).alias("_kws"))
+    # Ten keywords per atom feed three joins; they are counted once.
+    items = materialise(atoms.select(key, T.keywords(F.col(text), 10, tuple(K.STOP_VERIFY)).alias("_kws")), "keywords")
     best = best_reference(items, key, "_kws", refs, ref, word_tokens(F.col(content)))
     named = best.join(refs.select(ref, F.col(path).alias("_path"), F.col(content).alias("_content")), ref)
     joined = items.join(named, key, "left")

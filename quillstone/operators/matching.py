@@ -66,7 +66,7 @@ def best_reference(items: DataFrame, key: str, kws: str, refs: DataFrame, ref: s
 
 
 def matched_keywords(kws: Column, text: Column) -> Column:
-    return F.filter(kws, lambda k: F.instr(F.lower(text), k) > 0)
+    return arrays.let(F.lower(text), lambda low: F.filter(kws, lambda k: F.instr(low, k) > 0))
 
 
 def word_tokens(text: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import constants as K, text as T
+from ..functions import arrays, constants as K, text as T
+from ..session import materialise
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -34,8 +35,7 @@ def _depth(words: Column) -> Column:
 
 
 def _keywords_hit(content: Column, kws: Column) -> Column:
-    low = F.lower(content)
-    return F.size(F.filter(kws, lambda k: F.instr(low, k) > 0))
+    return arrays.let(F.lower(content), lambda low: F.size(F.filter(kws, lambda k: F.instr(low, k) > 0)))
 
 
 def baseline_quality(refs: DataFrame, group: str, content: str, domain_words: DataFrame) -> DataFrame:
@@ -50,6 +50,7 @@ def baseline_quality(refs: DataFrame, group: str, content: str, domain_words: Da
         group, _depth(T.word_count(F.col(content))).alias("depth"),
         T.keywords(F.col(content), 20, (), 4, 30).alias("kws"),
         F.when(F.size("words") > 0, (_keywords_hit(F.col(content), F.col("words")) >= 2).cast("int")).alias("relevant"))
+    r = materialise(r, "references")
     totals = r.groupBy(group).agg(
         F.count("*").alias("n"), F.avg("depth").alias("depth"), F.avg("relevant").alias("relevance"),
         F.count(F.when(F.size("kws") > 0, 1)).alias("filled"))

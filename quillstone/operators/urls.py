@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import constants as K, text as T
+from ..functions import arrays, constants as K, text as T
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -72,25 +72,31 @@ def page_links(
 
     Works inside the row: a page's links are an array until the final explode.
     """
-    base = F.concat(F.regexp_extract(url, SCHEME, 1), F.lit("://"), F.regexp_extract(url, HOST, 1))
-    folder = F.regexp_replace(path(F.col(url)), r"[^/]*\z", "")
+    # Parts of the page's own URL are columns, so the link expressions do not repeat them.
+    kept_columns = [c for c in pages.columns if c != html]
+    pages = pages.withColumns({
+        "_scheme": F.regexp_extract(url, SCHEME, 1), "_host": host(F.col(url)),
+        "_base": F.concat(F.regexp_extract(url, SCHEME, 1), F.lit("://"), F.regexp_extract(url, HOST, 1)),
+        "_folder": F.regexp_replace(path(F.col(url)), r"[^/]*\z", ""),
+    })
+    base, folder = F.col("_base"), F.col("_folder")
     hrefs = F.regexp_extract_all(html, F.lit(r'<a[^>]*href="([^"]*)"[^>]*>'), 1)
     kept = F.filter(hrefs, lambda h: ~(h.startswith("#") | h.startswith("mailto:")))
 
     def absolute(h: Column) -> Column:
         return (
             F.when(h.rlike(SCHEME), h)
-            .when(h.startswith("//"), F.concat(F.regexp_extract(url, SCHEME, 1), F.lit(":"), h))
+            .when(h.startswith("//"), F.concat("_scheme", F.lit(":"), h))
             .when(h.startswith("/"), F.concat(base, h))
             .otherwise(F.concat(base, F.when(F.length(folder) > 0, folder).otherwise("/"), h))
         )
 
     same = F.filter(
         F.transform(kept, absolute),
-        lambda u: (host(u) == host(F.col(url))) & matches(u, patterns),
+        lambda u: (host(u) == F.col("_host")) & matches(u, patterns),
     )
     return pages.select(
-        *[c for c in pages.columns if c != html], F.posexplode(F.slice(same, 1, limit)).alias("pos", "link")
+        *kept_columns, F.posexplode(F.slice(same, 1, limit)).alias("pos", "link")
     )
 
 
@@ -129,14 +135,14 @@ def search_results_html(html: Column, limit: int = 15) -> Column:
     def plain(c: Column) -> Column:
         return T.strip(F.regexp_replace(c, "<[^>]+>", ""))
 
-    return F.transform(
+    return arrays.let(F.struct(titles.alias("t"), notes.alias("n")), lambda x: F.transform(
         hrefs,
         lambda h, i: F.struct(
             redirect_target(h).alias("url"),
-            plain(F.get(titles, i)).alias("title"),
-            F.coalesce(plain(F.get(notes, i)), F.lit("")).alias("snippet"),
+            plain(F.get(x["t"], i)).alias("title"),
+            F.coalesce(plain(F.get(x["n"], i)), F.lit("")).alias("snippet"),
         ),
-    )
+    ))
 
 
 def redirect_target(href: Column) -> Column:
