@@ -273,3 +273,21 @@ def compare_builds(builds: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     a = b.select(*[F.col(c).alias(f"a_{c}") for c in b.columns])
     o = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     return pairs.join(a, F.col("a") == F.col(f"a_{key}")).join(o, F.col("b") == F.col(f"b_{key}")).drop("a", "b")
+
+
+def merge_chapters(chapters: DataFrame, book: str, name: str, text: str) -> DataFrame:
+    """Numbered chapters of a book in one document, if it has at least two.
+
+    Written as parts of at most ``PART`` chapters; a book of any size is
+    ranked and gathered in pieces.
+    """
+    number = F.regexp_extract(name, r"(?i)^(\d{1,3})[\s._-]+(.+)\.pdf$", 1)
+    body = T.strip(F.col(text))
+    kept = chapters.withColumn("_n", number).filter(F.length("_n") > 0).select(
+        book, F.col(name).alias("_name"), F.col("_n").cast("int").alias("_n"), body.alias("_body"))
+    sizes = kept.groupBy(book).agg(F.count("*").alias("chapters")).filter(F.col("chapters") >= 2)
+    part = F.concat(F.lit("\n--- "), "_name", F.lit(" ---\n\n"), "_body")
+    placed = ranked(kept.filter(F.length("_body") > 0).withColumn("_part", part), [F.col("_n"), F.col("_name")], "_r", [book])
+    merged = placed.groupBy(book, F.floor((F.col("_r") - 1) / PART).alias("part")).agg(
+        T.strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_part"))), lambda x: x["_part"]), "\n\n")).alias("merged"))
+    return merged.join(sizes, book).select(book, "part", "chapters", "merged")

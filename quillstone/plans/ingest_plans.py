@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K, text as T
-from ..operators import atoms as A, registry_tables as R, responses as J, sections as H, trees, urls as U
+from ..operators import atoms as A, publish as P, registry_tables as R, responses as J, sections as H, trees, urls as U
 from ..session import shared_dir
 from ..sources import files
 from . import sqlparts as S
@@ -187,26 +187,13 @@ def front_matter_samples(spark, sf):
 WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'intro.pdf' ELSE format('{{:02d}}', turn) || CASE WHEN turn % 2 = 0 THEN ' ' ELSE '_' END || role || '.pdf' END AS name, text FROM conversations),
 m AS (SELECT conv_id, CAST(regexp_extract(name, '(?i)^(\\d{{1,3}})[\\s._-]+(.+)\\.pdf$', 1) AS INT) AS n, name, {S.strip('text')} AS text FROM c WHERE regexp_matches(name, '(?i)^(\\d{{1,3}})[\\s._-]+(.+)\\.pdf$')),
 k AS (SELECT conv_id, count(*) AS n FROM m GROUP BY conv_id HAVING count(*) >= 2)
-SELECT conv_id, any_value(k.n) AS chapters, {S.strip(f"string_agg({S.NL} || '--- ' || name || ' ---' || {S.NL} || {S.NL} || text, {S.NL} || {S.NL} ORDER BY m.n) FILTER (length(text) > 0)")} AS merged
+SELECT conv_id, 0 AS part, any_value(k.n) AS chapters, {S.strip(f"string_agg({S.NL} || '--- ' || name || ' ---' || {S.NL} || {S.NL} || text, {S.NL} || {S.NL} ORDER BY m.n) FILTER (length(text) > 0)")} AS merged
 FROM m JOIN k USING (conv_id) GROUP BY conv_id""")
 def chapter_merge(spark, sf):
     c = table(spark, sf, "conversations")
     name = F.when(F.col("role") == "system", "intro.pdf").otherwise(F.concat(
         F.format_string("%02d", "turn"), F.when(F.col("turn") % 2 == 0, " ").otherwise("_"), "role", F.lit(".pdf")))
-    return merge_chapters(c.select("conv_id", name.alias("name"), "text"), "conv_id", "name", "text")
-
-
-def merge_chapters(chapters, book, name, text):
-    """Numbered chapters per book in one document; a book's numbers have at most three digits."""
-    number = F.regexp_extract(name, r"(?i)^(\d{1,3})[\s._-]+(.+)\.pdf$", 1)
-    part = F.concat(F.lit("\n--- "), F.col(name), F.lit(" ---\n\n"), T.strip(F.col(text)))
-    kept = chapters.withColumn("_n", number).filter(F.length("_n") > 0)
-    return kept.groupBy(book).agg(
-        F.count("*").alias("chapters"),
-        F.sort_array(F.collect_list(F.when(F.length(T.strip(F.col(text))) > 0, F.struct(
-            F.col("_n").cast("int").alias("n"), part.alias("part"))))).alias("_parts"),
-    ).filter(F.col("chapters") >= 2).select(
-        book, "chapters", T.strip(F.array_join(F.transform("_parts", lambda p: p["part"]), "\n\n")).alias("merged"))
+    return P.merge_chapters(c.select("conv_id", name.alias("name"), "text"), "conv_id", "name", "text")
 
 
 @query("scraped_pages", "S11", f"""

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..operators.ranking import ranked
+
 EVENT = (
     "event string, phase string, name string, status string, level string, message string, progress double, score double, "
     "quality_score double, final_score double, atoms_extracted double, atoms_deduplicated double, atoms_verified double, "
@@ -129,8 +131,12 @@ def cost_steps(events: DataFrame, build: str, ord_: str) -> DataFrame:
     """Cost increments between consecutive reports of a build, from per-event cumulative values."""
     rows = events.filter((F.col("event") == "cost") | _truthy("api_cost_usd")).select(
         F.col(build).alias("build"), F.col(ord_).alias("ord"), F.coalesce("api_cost_usd", F.lit(0.0)).alias("cost"))
-    w = W.partitionBy("build").orderBy("ord")
-    return rows.withColumn("delta", F.col("cost") - F.coalesce(F.lag("cost").over(w), F.lit(0.0)))
+    # The previous report is the row with the rank before: an equi-join on (build, rank) is
+    # balanced even if one build reports most of the costs.
+    placed = ranked(rows, [F.col("ord")], "_n", ["build"])
+    before = placed.select("build", (F.col("_n") + 1).alias("_n"), F.col("cost").alias("_before"))
+    return placed.join(before, ["build", "_n"], "left").select(
+        "build", "ord", "cost", (F.col("cost") - F.coalesce("_before", F.lit(0.0))).alias("delta"))
 
 
 def replay(logs: DataFrame, build: str, ord_: str, limit: int = 500) -> DataFrame:

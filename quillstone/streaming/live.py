@@ -63,16 +63,17 @@ def run_log_tail(stream: DataFrame, ord_: str, ts: str, within: str = "10 minute
 
 
 STATE = "last_ord long, events long, completed boolean"
-OUT = "build long, last_ord long, events long, status string"
+OUT = "build long, shard int, last_ord long, events long, status string"
+SHARDS = 8
 
 
 def _reduce(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Liveness of one build: latest event, event count, completion, silence."""
+    """Liveness of one shard of a build: latest event, event count, completion, silence."""
     last, n, completed = state.get if state.exists else (-1, 0, False)
     if state.hasTimedOut:
         status = "completed" if completed else "failed"
         state.remove()
-        yield pd.DataFrame([(key[0], last, n, status)], columns=["build", "last_ord", "events", "status"])
+        yield pd.DataFrame([(*key, last, n, status)], columns=["build", "shard", "last_ord", "events", "status"])
         return
     for f in frames:
         last = max(last, int(f["ord"].max()))
@@ -80,22 +81,35 @@ def _reduce(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
         completed = completed or bool(f["completed"].any())
     state.update((last, n, completed))
     state.setTimeoutDuration(_reduce.silence_ms)
-    yield pd.DataFrame([(key[0], last, n, "completed" if completed else "running")],
-                       columns=["build", "last_ord", "events", "status"])
+    yield pd.DataFrame([(*key, last, n, "completed" if completed else "running")],
+                       columns=["build", "shard", "last_ord", "events", "status"])
 
 
 _reduce.silence_ms = 3_600_000
 
 
 def liveness(stream: DataFrame, build: str, ord_: str) -> DataFrame:
-    """Stateful reducer keyed by build; a silent build that never completed is reported failed."""
+    """Stateful reducer keyed by (build, shard), so that a busy build is spread over tasks.
+
+    A silent shard that saw no completion is reported failed; ``combine`` puts
+    the shards of a build together.
+    """
     slim = stream.select(
-        F.col(build).alias("build"), F.col(ord_).alias("ord"),
+        F.col(build).alias("build"), F.pmod(F.xxhash64(ord_), F.lit(SHARDS)).cast("int").alias("shard"), F.col(ord_).alias("ord"),
         F.coalesce((F.col("event") == "complete") & (F.col("status") == "completed"), F.lit(False)).alias("completed"))
-    return slim.groupBy("build").applyInPandasWithState(
+    return slim.groupBy("build", "shard").applyInPandasWithState(
         _reduce, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def combine(shards: DataFrame) -> DataFrame:
+    """One row per build: completed if any shard is, failed only if all are silent."""
+    done = F.max((F.col("status") == "completed").cast("int")) == 1
+    silent = F.min((F.col("status") == "failed").cast("int")) == 1
+    return shards.groupBy("build").agg(
+        F.max("last_ord").alias("last_ord"), F.sum("events").alias("events"),
+        F.when(done, "completed").when(silent, "failed").otherwise("running").alias("status"))
+
+
 def run_liveness(stream: DataFrame, build: str, ord_: str) -> DataFrame:
     spark = stream.sparkSession
     root = _folder(spark, "liveness")
@@ -113,4 +127,5 @@ def run_liveness(stream: DataFrame, build: str, ord_: str) -> DataFrame:
     spark.conf.set(setting, before)
     query.awaitTermination()
     rows = spark.read.schema(OUT + ", b int").parquet(f"{root}/data")
-    return rows.groupBy("build").agg(F.max_by(F.struct("last_ord", "events", "status"), "b").alias("s")).select("build", "s.*")
+    last = rows.groupBy("build", "shard").agg(F.max_by(F.struct("last_ord", "events", "status"), "b").alias("s"))
+    return combine(last.select("build", "shard", "s.*"))
