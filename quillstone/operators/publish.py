@@ -146,13 +146,14 @@ def test_contexts(tests: DataFrame, atoms: DataFrame, order: str) -> DataFrame:
     hits = F.filter("_tests", lambda t: (
         F.exists(t["titles"], lambda s: (F.length(s) > 0) & (F.instr(F.col("_t"), s) > 0) | (s == F.col("_t")))
         | ((F.length(t["cat"]) > 0) & (t["cat"] == F.col("_c")))))
-    prio = a.join(F.broadcast(asked)).select(order, "confidence", "entry", F.explode(hits).alias("t")).select(
+    prio = a.withColumn("_tests", asked.scalar()).select(order, "confidence", "entry", F.explode(hits).alias("t")).select(
         F.col("t.test_id").alias("test_id"), order, "entry")
     prio = top_rows(prio, ["test_id"], [F.col(order)], most, "_r").select(
         "test_id", "entry", F.lit(0).alias("_p"), F.lit(0.0).alias("_s"), order)
     # The rest by confidence: enough rows to outlast those that are priority for a test.
     best = a.orderBy(F.col("confidence").desc(), order).limit(2 * most)
-    rest = best.join(F.broadcast(few.select("test_id"))).join(prio.select("test_id", order), ["test_id", order], "left_anti").select(
+    ids = few.agg(F.collect_list("test_id").alias("t")).scalar()
+    rest = best.withColumn("test_id", F.explode(ids)).join(prio.select("test_id", order), ["test_id", order], "left_anti").select(
         "test_id", "entry", F.lit(1).alias("_p"), (-F.col("confidence")).alias("_s"), order)
     both = top_rows(prio.unionByName(rest), ["test_id"], [F.col("_p"), F.col("_s"), F.col(order)], most, "pos")
     w = W.partitionBy("test_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -14,7 +14,7 @@ from ..functions.arrays import bisect
 
 
 def _bounds(df: DataFrame, key: Column, ranges: int) -> DataFrame:
-    """One row: sorted array of at most ``ranges`` keys, the same on every run."""
+    """One value: sorted array of at most ``ranges`` keys, the same on every run."""
     slots = (
         df.select(key.alias("k"))
         .groupBy(F.pmod(F.xxhash64("k"), F.lit(ranges)).alias("slot"))
@@ -38,9 +38,8 @@ def ranked(
     key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     keyed = df.withColumn("_key", key)
     bounds = _bounds(keyed, F.col("_key"), ranges)
-    # One row of at most ``ranges`` keys, so the broadcast is bounded by construction.
     placed = (
-        keyed.join(F.broadcast(bounds))
+        keyed.withColumn("bounds", bounds.scalar())
         .withColumn("_range", bisect(F.col("bounds"), F.col("_key"), ranges))
         .drop("bounds")
     )
@@ -79,7 +78,7 @@ def running_total(
     keyed = df.withColumn("_key", key).withColumn("_amount", amount)
     bounds = _bounds(keyed, F.col("_key"), ranges)
     placed = (
-        keyed.join(F.broadcast(bounds))
+        keyed.withColumn("bounds", bounds.scalar())
         .withColumn("_range", bisect(F.col("bounds"), F.col("_key"), ranges))
         .drop("bounds")
     )
