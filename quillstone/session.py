@@ -42,13 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, spread: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage without tying the data to an executor, and gives the
-    optimizer real sizes for the joins that follow.
+    optimizer real sizes for the joins that follow.  ``spread`` is for rows
+    that carry whole texts: a result too small to fill the cores is dealt out
+    again, a large one keeps its own splits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return back.repartition(cores) if spread and back.rdd.getNumPartitions() < cores else back
