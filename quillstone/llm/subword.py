@@ -95,14 +95,14 @@ def bags(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(texts: list[str], labels: list[int], s: Settings) -> Margins:
-    """Train vectors and softmax together; without both labels the score is their share everywhere."""
+    """Train vectors and softmax together; without both labels the score is their (smoothed) share everywhere."""
     rng = np.random.default_rng(s.seed)
     size = s.buckets + len(SHAPES)
     vectors = rng.uniform(-1 / s.dims, 1 / s.dims, (size, s.dims)).astype(np.float32)
     seen = np.full(size, 1e-6, np.float32)
     top = rng.uniform(-0.5, 0.5, (s.dims, 2)).astype(np.float32)
     seen_top = np.full((s.dims, 2), 1e-2, np.float32)
-    share = (sum(labels) + 0.5) / (len(labels) + 1)
+    share = (sum(labels) + 0.5) / (len(labels) + 2)
     bias = np.log(np.array([1 - share, share], np.float32))
     seen_bias = np.full(2, 1e-2, np.float32)
     if len(set(labels)) < 2:
