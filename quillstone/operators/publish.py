@@ -133,11 +133,11 @@ CONTEXT_CHARS, TESTS = 4000, 5
 def test_contexts(tests: DataFrame, atoms: DataFrame, order: str) -> DataFrame:
     """(test_id, pos, entry): entries that fit the context budget of each of the five tests.
 
-    An entry has at least seven characters, so a budget holds fewer than
-    ``CONTEXT_CHARS / 7`` entries; that many candidates per test are enough.
+    An entry has at least six characters (title and content may be empty), so a budget
+    holds at most ``CONTEXT_CHARS / 6`` entries; that many candidates per test are enough.
     """
-    most = CONTEXT_CHARS // 7 + 1
-    few = tests.limit(TESTS)
+    most = CONTEXT_CHARS // 6 + 1
+    few = tests.orderBy("test_id").limit(TESTS)
     entry = F.concat(F.lit("### "), F.coalesce("title", F.lit("N/A")), F.lit("\n"), F.left("content", F.lit(400)), F.lit("\n"))
     a = atoms.select(order, "confidence", F.lower("title").alias("_t"), F.lower("category").alias("_c"), entry.alias("entry"))
     # Five tests as one array: bounded by the feature itself.

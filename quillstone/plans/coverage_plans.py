@@ -126,10 +126,10 @@ def coverage_summary(spark, sf):
 WITH {S.keywords('kw', 'documents', 'doc_id', _TOPIC_SQL, 8, K.STOP_EXTRACT)},
 c AS (SELECT k.id, b.item_id AS ref_idx, b.text, count(*) AS n, min(instr(lower(b.text), k.kw) - 1) AS f FROM kw k JOIN benchmark b ON contains(lower(b.text), k.kw) GROUP BY 1, 2, 3),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, length(text), ref_idx) AS r FROM c) WHERE r = 1)
-SELECT id AS doc_id, ref_idx, n AS match_count, substring(text, greatest(0, f - 60) + 1, 120) AS excerpt FROM w""")
+SELECT id AS doc_id, ref_idx, n AS match_count, substring(text, greatest(0, f - 6000) + 1, 12000) AS excerpt FROM w""")
 def gap_excerpts(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", _topic().alias("topic"))
-    return C.gap_excerpts(d, "doc_id", "topic", _refs(spark, sf), "ref_idx", "content", 120)
+    return C.gap_excerpts(d, "doc_id", "topic", _refs(spark, sf), "ref_idx", "content")
 
 
 # --- lookup --------------------------------------------------------------------------------------
@@ -160,7 +160,7 @@ def topic_lookup(spark, sf):
 
 
 @query("claim_check", "J13", f"""
-WITH claims AS (SELECT conv_id * 100 + turn AS id, text FROM conversations WHERE role = 'user' UNION ALL SELECT 1000000 + item_id, text FROM benchmark WHERE item_id % 2 = 0),
+WITH claims AS (SELECT conv_id * 100 + turn AS id, text FROM conversations WHERE role = 'user' UNION ALL SELECT 1000000 + item_id, text FROM benchmark),
 {_hits(3, 'claims', 'id', 'left(text, 100)')},
 c AS (SELECT id, list_distinct({S.word_list('lower(text)')}) AS l FROM claims), e AS (SELECT item_id, text, list_distinct({S.word_list('lower(text)')}) AS l FROM benchmark),
 s AS (SELECT h.id, h.ord, position, e.text, len(list_intersect(c.l, e.l))::DOUBLE / greatest(len(c.l), 1) AS score FROM h JOIN c USING (id) JOIN e ON e.item_id = h.ord),
@@ -169,7 +169,7 @@ SELECT claims.id, coalesce(score, 0) > 0.3 AS verified, round_even(coalesce(scor
  CASE WHEN score > 0.7 THEN 'exact' WHEN score > 0.3 THEN 'partial' ELSE 'no_match' END AS match_type FROM claims LEFT JOIN b USING (id)""")
 def claim_check(spark, sf):
     c = table(spark, sf, "conversations").filter(F.col("role") == "user").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    b = table(spark, sf, "benchmark").filter(F.col("item_id") % 2 == 0).select((F.col("item_id") + 1000000).alias("id"), "text")
+    b = table(spark, sf, "benchmark").select((F.col("item_id") + 1000000).alias("id"), "text")
     claims = c.unionByName(b).withColumn("topic", F.left("text", F.lit(100)))
     out = L.verify_claims(claims, "id", "text", "topic", _entries(spark, sf), "ord", _searched(), "content")
     return out.drop("text", "topic")

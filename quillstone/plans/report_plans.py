@@ -72,11 +72,12 @@ def category_routes(spark, sf):
 
 
 @query("stream_caps", "U4", """
-SELECT * FROM (SELECT 'gap' AS stream, doc_id AS ord FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'code', doc_id FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 15)""")
+WITH d AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'gap' ELSE 'code' END AS stream, doc_id AS ord FROM documents)
+SELECT * FROM (SELECT * FROM d WHERE stream = 'gap' ORDER BY ord LIMIT 10) UNION ALL SELECT * FROM (SELECT * FROM d WHERE stream = 'code' ORDER BY ord LIMIT 15)""")
 def stream_caps(spark, sf):
-    d = table(spark, sf, "documents")
-    gap = B.capped(d.filter("lang = 'fr'").select(F.lit("gap").alias("stream"), F.col("doc_id").alias("ord")), [F.col("ord")], "gap_atoms")
-    return gap.unionByName(B.capped(d.filter("lang = 'de'").select(F.lit("code").alias("stream"), F.col("doc_id").alias("ord")), [F.col("ord")], "code_atoms"))
+    d = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 2 == 0, "gap").otherwise("code").alias("stream"), F.col("doc_id").alias("ord"))
+    gap = B.capped(d.filter("stream = 'gap'"), [F.col("ord")], "gap_atoms")
+    return gap.unionByName(B.capped(d.filter("stream = 'code'"), [F.col("ord")], "code_atoms"))
 
 
 # --- dedup ---------------------------------------------------------------------------------------
@@ -195,7 +196,7 @@ def dedup_answers(spark, sf):
 
 @query("review_decisions", "J20", f"""
 WITH {_ATOMS}, d AS (SELECT event_id AS ord, CASE event_type WHEN 'view' THEN 'keep_a' WHEN 'click' THEN 'keep_b' WHEN 'signup' THEN 'merge' WHEN 'purchase' THEN 'discard' END AS action,
-  printf('atom_%04d', event_id % 5000) AS a_id, printf('atom_%04d', event_id % 5000 + 1) AS b_id, CASE WHEN event_id % 3 > 0 THEN props ELSE '' END AS mc FROM events WHERE event_id % 7 = 0),
+  printf('atom_%04d', event_id * 3) AS a_id, printf('atom_%04d', event_id * 3 + 1) AS b_id, CASE WHEN event_id % 3 > 0 THEN props ELSE '' END AS mc FROM events),
 x AS (SELECT *, coalesce(action, 'keep_a') AS act, coalesce(action, 'keep_a') = 'merge' AND mc <> '' AS m FROM d),
 dr AS (SELECT b_id AS id FROM x WHERE act IN ('keep_a', 'discard') OR m UNION SELECT a_id FROM x WHERE act IN ('keep_b', 'discard')),
 mm AS (SELECT a_id AS id, arg_max(mc, ord) AS mc FROM x WHERE m GROUP BY 1)
@@ -203,9 +204,9 @@ SELECT atoms.id, coalesce(mc, content) AS content, CASE WHEN mc IS NOT NULL THEN
 def review_decisions(spark, sf):
     i = F.col("event_id")
     act = F.create_map(*[F.lit(v) for v in ("view", "keep_a", "click", "keep_b", "signup", "merge", "purchase", "discard")])
-    d = table(spark, sf, "events").filter(i % 7 == 0).select(
-        i.alias("ord"), act[F.col("event_type")].alias("action"), F.format_string("atom_%04d", i % 5000).alias("a_id"),
-        F.format_string("atom_%04d", i % 5000 + 1).alias("b_id"), F.when(i % 3 > 0, F.col("props")).otherwise("").alias("merged_content"))
+    d = table(spark, sf, "events").select(
+        i.alias("ord"), act[F.col("event_type")].alias("action"), F.format_string("atom_%04d", i * 3).alias("a_id"),
+        F.format_string("atom_%04d", i * 3 + 1).alias("b_id"), F.when(i % 3 > 0, F.col("props")).otherwise("").alias("merged_content"))
     return X.apply_decisions(_atoms(spark, sf).select("id", "content", "status"), d)
 
 
@@ -622,25 +623,25 @@ def diverse_top_few_categories(spark, sf):
 
 
 @query("test_contexts", "W4", f"""
-WITH {_ATOMS}, t AS (SELECT item_id AS test_id, ['fr', 'de', '', 'es', 'en'][item_id + 1] AS cat, regexp_extract(lower(text), '^[^ ]+') AS st FROM benchmark WHERE item_id < 5),
+WITH {_ATOMS}, t AS (SELECT item_id AS test_id, ['fr', 'de', '', 'es', 'en'][item_id % 5 + 1] AS cat, regexp_extract(lower(text), '^[^ ]+') AS st FROM benchmark ORDER BY item_id LIMIT 5),
 x AS (SELECT test_id, idx, '### ' || title || {S.NL} || left(content, 400) || {S.NL} AS entry, CASE WHEN contains(lower(title), st) OR (cat <> '' AND cat = lower(category)) THEN 0 ELSE 1 END AS p, confidence FROM t CROSS JOIN atoms),
 r AS (SELECT test_id, entry, row_number() OVER w AS pos, sum(length(entry)) OVER w AS s FROM x WINDOW w AS (PARTITION BY test_id ORDER BY p, CASE WHEN p = 0 THEN 0 ELSE -confidence END, idx))
 SELECT test_id, pos, entry FROM r WHERE s <= 4000""")
 def test_contexts(spark, sf):
     cats = F.array(*[F.lit(c) for c in ("fr", "de", "", "es", "en")])
-    t = table(spark, sf, "benchmark").filter("item_id < 5").select(
-        F.col("item_id").alias("test_id"), F.element_at(cats, (F.col("item_id") + 1).cast("int")).alias("category"),
+    t = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("test_id"), F.element_at(cats, (F.col("item_id") % 5 + 1).cast("int")).alias("category"),
         F.array(F.regexp_extract(F.lower("text"), "^[^ ]+", 0)).alias("titles"))
     return P.test_contexts(t, _atoms(spark, sf), "idx")
 
 
 @query("inline_references", "W5", f"""
-WITH k AS (SELECT sum(length(text) + 1) + 100 AS u FROM benchmark), t AS (SELECT sum(length(text) + 2) - 2 AS t FROM documents WHERE lang = 'de'),
+WITH k AS (SELECT sum(length(text) + 1) + 100 AS u FROM benchmark), t AS (SELECT sum(length(text) + 2) - 2 AS t FROM documents),
 b AS (SELECT CASE WHEN u + t > 50000 THEN greatest(50000 - u - 200, 0) ELSE t END AS b FROM k CROSS JOIN t),
-r AS (SELECT doc_id AS ord, text, coalesce(sum(length(text) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM documents WHERE lang = 'de')
+r AS (SELECT doc_id AS ord, text, coalesce(sum(length(text) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM documents)
 SELECT ord, left(text, CAST(b - s AS INT)) AS text, b - s < length(text) AS is_cut FROM r CROSS JOIN b WHERE b - s > 0""")
 def inline_references(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'de'").select("doc_id", "text")
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return P.inline_references(table(spark, sf, "benchmark").select("text"), d, "doc_id", "text", overhead=100)
 
 
@@ -667,13 +668,13 @@ def log_page(spark, sf):
 
 @query("build_comparison", "J22", f"""
 WITH b AS (SELECT o_orderkey AS id, o_totalprice AS cost, CASE WHEN o_orderkey % 2 = 0 THEN 'report ' || o_orderkey ELSE 'front ' || o_orderpriority END AS description FROM orders)
-SELECT a.id AS a_id, a.cost AS a_cost, a.description AS a_description, o.id AS b_id, o.cost AS b_cost, o.description AS b_description FROM b a JOIN b o ON o.id = a.id + 1 AND a.id % 10 = 0""")
+SELECT a.id AS a_id, a.cost AS a_cost, a.description AS a_description, o.id AS b_id, o.cost AS b_cost, o.description AS b_description FROM b a JOIN b o ON o.id = a.id + 1""")
 def build_comparison(spark, sf):
     i = F.col("o_orderkey")
     b = table(spark, sf, "orders").select(
         i.alias("id"), F.col("o_totalprice").alias("cost"), F.when(i % 2 == 0, F.concat(F.lit("report "), i.cast("string"))).alias("report_description"),
         F.concat(F.lit("---\nname: x\ndescription: >\n  front\n  "), "o_orderpriority", F.lit("\nversion: 1\n---\nbody")).alias("document"))
-    pairs = b.filter(F.col("id") % 10 == 0).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    pairs = b.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     return P.compare_builds(b, pairs, "id")
 
 

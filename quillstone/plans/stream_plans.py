@@ -114,10 +114,10 @@ def build_status(spark, sf):
     return E.build_status(_state(spark, sf))
 
 
-@query("log_replay", "R7", f"WITH {_LINES}, r AS (SELECT i AS event_id, build, row_number() OVER (PARTITION BY build ORDER BY i) AS pos FROM l) SELECT * FROM r WHERE pos <= 50")
+@query("log_replay", "R7", f"WITH {_LINES}, r AS (SELECT i AS event_id, build, row_number() OVER (PARTITION BY build ORDER BY i) AS pos FROM l) SELECT * FROM r WHERE pos <= 500")
 def log_replay(spark, sf):
     logs = _parsed(spark, sf).select("event_id", F.col("user_id").alias("build"))
-    return E.replay(logs, "build", "event_id", 50)
+    return E.replay(logs, "build", "event_id")
 
 
 @query("log_tail", "R7", f"WITH {_LINES} SELECT i AS event_id, event FROM l")
