@@ -65,6 +65,39 @@ def safe_name(url: Column) -> Column:
     return F.coalesce(F.nullif(F.left(name, F.lit(80)), F.lit("")), F.lit("page"))
 
 
+def fold_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved; it starts with a slash."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    folded = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda seen, p: F.when(p == "..", F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0))))
+        .when(p == ".", seen).otherwise(F.array_append(seen, p)))
+    whole = F.concat(F.array_join(folded, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return F.when(whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole))
+
+
+def resolve(base: dict[str, Column], link: Column) -> Column:
+    """``link`` as seen from a page; ``base`` has the page's ``url``, ``scheme``, ``root`` and ``path``.
+
+    Links of another scheme stay as they are.  A relative path starts at the page's folder,
+    empty segments inside it are dropped; a query or fragment alone keeps the page's path.
+    """
+    tail = F.regexp_extract(link, r"([?#].*)?\z", 0)
+    place = F.regexp_extract(link, r"^[^?#]*", 0)
+    folder = F.regexp_replace(base["path"], r"[^/]*\z", "")
+    joined = F.regexp_replace(F.concat(F.when(folder == "", "/").otherwise(folder), place), r"(?<=.)/{2,}|(?<=/)/+", "/")
+    return (
+        F.when(link == "", base["url"])
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(base["scheme"], F.lit(":"), link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(base["url"], "(?s)#.*", ""), link))
+        .when(place == "", F.concat(base["root"], base["path"], tail))
+        .when(place.startswith("/"), F.concat(base["root"], fold_dots(place), tail))
+        .otherwise(F.concat(base["root"], fold_dots(joined), tail))
+    )
+
+
 def page_links(
     pages: DataFrame, url: str, html: str, patterns: tuple[str, ...] = (), limit: int = 30
 ) -> DataFrame:
@@ -75,31 +108,45 @@ def page_links(
     # Parts of the page's own URL are columns, so the link expressions do not repeat them.
     kept_columns = [c for c in pages.columns if c != html]
     pages = pages.withColumns({
-        "_scheme": F.regexp_extract(url, SCHEME, 1), "_host": host(F.col(url)),
-        "_base": F.concat(F.regexp_extract(url, SCHEME, 1), F.lit("://"), F.regexp_extract(url, HOST, 1)),
-        "_folder": F.regexp_replace(path(F.col(url)), r"[^/]*\z", ""),
+        "_scheme": F.regexp_extract(url, SCHEME, 1), "_netloc": F.regexp_extract(url, HOST, 1), "_path": path(F.col(url)),
+        "_root": F.concat(F.regexp_extract(url, SCHEME, 1), F.lit("://"), F.regexp_extract(url, HOST, 1)),
     })
-    base, folder = F.col("_base"), F.col("_folder")
-    hrefs = F.regexp_extract_all(html, F.lit(r'<a[^>]*href="([^"]*)"[^>]*>'), 1)
+    base = {"url": F.col(url), "scheme": F.col("_scheme"), "root": F.col("_root"), "path": F.col("_path")}
+    hrefs = F.regexp_extract_all(html, F.lit(r'(?s)<a[^>]*href="([^"]*)"[^>]*>'), 1)
     kept = F.filter(hrefs, lambda h: ~(h.startswith("#") | h.startswith("mailto:")))
-
-    def absolute(h: Column) -> Column:
-        return (
-            F.when(h.rlike(SCHEME), h)
-            .when(h.startswith("//"), F.concat("_scheme", F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(base, h))
-            .otherwise(F.concat(base, F.when(F.length(folder) > 0, folder).otherwise("/"), h))
-        )
-
     same = F.filter(
-        F.transform(kept, absolute),
-        lambda u: (host(u) == F.col("_host")) & matches(u, patterns),
+        F.transform(kept, lambda h: resolve(base, h)),
+        lambda u: (F.regexp_extract(u, HOST, 1) == F.col("_netloc")) & matches(u, patterns),
     )
     return pages.select(
         *kept_columns, F.posexplode(F.slice(same, 1, limit)).alias("pos", "link")
     )
 
 
+def sitemap_links(
+    sitemaps: DataFrame, roots: DataFrame, url: str, xml: str, patterns: tuple[str, ...] = (), limit: int = 50
+) -> DataFrame:
+    """(root, pos, link): page addresses of the stored sitemap of each root, first ``limit`` each.
+
+    An index is followed one level: the addresses of its sitemaps come first, in their order,
+    then the root's own.  A sitemap that is not stored, or is no XML of this kind, gives none.
+    """
+    loc = r"(?s)<{0}\b[^>]*>(?:(?!</{0}>).)*?<loc>\s*([^<]*?)\s*</loc>"
+    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    found = lambda tag: F.transform(F.regexp_extract_all(xml, F.lit(loc.format(tag)), 1), plain)
+    read = sitemaps.select(F.col(url).alias("_map"), found("url").alias("_links"), found("sitemap").alias("_maps"))
+    own = roots.select(F.col(url).alias("root")).join(read, F.col("root") == F.col("_map"))
+    nested = (
+        own.select("root", F.posexplode("_maps").alias("_m", "_sub"))
+        .join(read.select(F.col("_map").alias("_sub"), "_links"), "_sub")
+        .select("root", F.lit(0).alias("_level"), "_m", F.posexplode("_links").alias("_i", "link"))
+    )
+    direct = own.select("root", F.lit(1).alias("_level"), F.lit(0).alias("_m"), F.posexplode("_links").alias("_i", "link"))
+    every = nested.unionByName(direct).filter(matches(F.col("link"), patterns))
+    first = top_rows(every, ["root"], [F.col("_level"), F.col("_m"), F.col("_i")], limit, "pos")
+    return first.select("root", (F.col("pos") - 1).alias("pos"), "link")
+
+
 def distinct_candidates(candidates: DataFrame, url: str, ord_: str, limit: int = 100) -> DataFrame:
     """First occurrence per normalised URL, first ``limit`` overall (the report's own limit)."""
     rest = [c for c in candidates.columns]

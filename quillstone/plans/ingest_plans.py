@@ -384,20 +384,45 @@ def html_to_markdown(spark, sf):
     return H.html_to_markdown(table(spark, sf, "pages"), "page_id", "html")
 
 
+_OWN_LINKS = r"""'<a[^>]*href="([^"]*)"[^>]*>'"""
+_FOLDER = f"CASE WHEN regexp_extract(url, '{U.PATH}', 1) = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '{U.PATH}', 1), '[^/]*$', '') END"
+# Links added to every page, and where each leads; NULL: not a link inside the site.
+_MORE_LINKS = (
+    ("rel/x", "base || folder || 'rel/x'"), ("#top", "NULL"), ("mailto:a@b", "NULL"), ("", "url"), ("../x", "base || parent || 'x'"),
+    ("./y/", "base || folder || 'y/'"), ("/p/./q/../r?s=/../t#u", "base || '/p/r?s=/../t#u'"), ("?q=1", "base || path || '?q=1'"),
+    ("..", "base || parent"), ("/..", "base || '/'"), ("a//b", "base || folder || 'a/b'"), ("javascript:void(0)", "NULL"), ("tel:123", "NULL"),
+    ("ftp://elsewhere.example/x", "NULL"), ("//elsewhere.example/x", "NULL"),
+)
+
+
 @query("link_table", "H6", f"""
-WITH p AS (SELECT page_id, url, regexp_extract(url, '{U.SCHEME}', 1) || '://' || regexp_extract(url, '{U.HOST}', 1) AS base, regexp_replace(regexp_extract(url, '{U.PATH}', 1), '[^/]*$', '') AS folder,
-  unnest(regexp_extract_all(html || '<a href="rel/x"><a href="#top"><a href="mailto:a@b"><a href="' || url || '">', '<a[^>]*href="([^"]*)"[^>]*>', 1)) AS h,
-  generate_subscripts(regexp_extract_all(html || '<a href="rel/x"><a href="#top"><a href="mailto:a@b"><a href="' || url || '">', '<a[^>]*href="([^"]*)"[^>]*>', 1), 1) AS i FROM pages),
-a AS (SELECT page_id, url, i, CASE WHEN regexp_matches(h, '{U.SCHEME}') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '{U.SCHEME}', 1) || ':' || h
-  WHEN starts_with(h, '/') THEN base || h ELSE base || CASE WHEN folder <> '' THEN folder ELSE '/' END || h END AS link FROM p WHERE NOT (starts_with(h, '#') OR starts_with(h, 'mailto:'))),
-s AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM a WHERE lower(regexp_extract(link, '{U.HOST}', 1)) = {_HOST_SQL})
+WITH p AS (SELECT page_id, url, regexp_extract(url, '{U.SCHEME}', 1) || '://' || regexp_extract(url, '{U.HOST}', 1) AS base, regexp_extract(url, '{U.PATH}', 1) AS path,
+  {_FOLDER} AS folder, CASE WHEN {_FOLDER} = '/' THEN '/' ELSE regexp_replace({_FOLDER}, '[^/]+/$', '') END AS parent, regexp_extract_all(html, {_OWN_LINKS}, 1) AS own FROM pages),
+a AS (SELECT page_id, base || h AS link, i FROM (SELECT page_id, base, unnest(own) AS h, generate_subscripts(own, 1) AS i FROM p) WHERE starts_with(h, '/')),
+b AS ({" UNION ALL ".join(f"SELECT page_id, {leads} AS link, 1000 + {i} AS i FROM p" for i, (_, leads) in enumerate(_MORE_LINKS))}
+  UNION ALL SELECT page_id, url, 2000 FROM p),
+s AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE link IS NOT NULL)
 SELECT page_id, link, pos FROM s WHERE pos < 30""")
 def link_table(spark, sf):
-    html = F.concat("html", F.lit('<a href="rel/x"><a href="#top"><a href="mailto:a@b"><a href="'), "url", F.lit('">'))
+    more = "".join(f'<a href="{h}">' for h, _ in _MORE_LINKS)
+    html = F.concat("html", F.lit(more), F.lit('<a\nhref="'), "url", F.lit('">'))
     p = table(spark, sf, "pages").select("page_id", "url", html.alias("html"))
     return U.page_links(p, "url", "html").select("page_id", "link", "pos")
 
 
+_SITEMAP = """'<sitemapindex><sitemap> <loc>map:' || (page_id + 1) || '</loc></sitemap><sitemap><loc>map:none</loc></sitemap></sitemapindex>
+<urlset><url><loc> ' || replace(url, '&', '&amp;') || ' </loc></url><url><lastmod>x</lastmod><loc>' || replace(url, '&', '&amp;') || '/docs</loc></url></urlset>'"""
+
+
+@query("sitemap_links", "H6 X2", """
+WITH r AS (SELECT a.page_id, 0 AS level, b.url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 UNION ALL SELECT page_id, 1, url FROM pages),
+l AS (SELECT page_id, level, 0 AS i, url AS link FROM r UNION ALL SELECT page_id, level, 1, url || '/docs' FROM r)
+SELECT 'map:' || page_id AS root, row_number() OVER (PARTITION BY page_id ORDER BY level, i) - 1 AS pos, link FROM l""")
+def sitemap_links(spark, sf):
+    maps = table(spark, sf, "pages").select(F.concat(F.lit("map:"), "page_id").alias("url"), F.expr(_SITEMAP).alias("xml"))
+    return U.sitemap_links(maps, maps.select("url"), "url", "xml")
+
+
 @query("heading_topics", "H7", f"""
 WITH l AS (SELECT source, doc_id, unnest(string_split({_MD_SQL}, {S.NL})) AS x, generate_subscripts(string_split({_MD_SQL}, {S.NL}), 1) AS i FROM documents),
 f AS (SELECT source, 1 AS part, doc_id AS ord, i, {S.strip("regexp_replace(" + S.strip('x') + ", '^#+\\s*', '')")} AS topic FROM l WHERE starts_with({S.strip('x')}, '## ') OR starts_with({S.strip('x')}, '### ')),
