@@ -133,3 +133,12 @@ MODEL_PRICES = {
     "claude-opus-4-6": (15.0, 75.0),
 }
 DEFAULT_PRICE = (3.0, 15.0)
+
+# What a grade says about a build.
+VERDICTS = {
+    "A": "Production-ready",
+    "B": "Usable — minor improvements possible",
+    "C": "Usable with caveats — consider rebuilding",
+    "D": "Below standard — rebuild recommended",
+    "F": "Not usable — needs significant rework",
+}

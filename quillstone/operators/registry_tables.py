@@ -55,3 +55,8 @@ def expired(builds: DataFrame, now: Column, days: int, created: str, status: str
     """Finished builds older than ``days``; zero or less disables retention."""
     old = F.col(created) < now - F.expr(f"INTERVAL {max(days, 0)} DAYS")
     return builds.filter(F.col(status).isin(*finished) & old & F.lit(days > 0))
+
+
+def entries_of(entries: DataFrame, sources: DataFrame, url: str) -> DataFrame:
+    """Stored entries of the asked source addresses."""
+    return entries.join(sources.select(url).distinct(), url, "left_semi").select(*entries.columns)

@@ -62,7 +62,17 @@ def baseline_quality(refs: DataFrame, group: str, content: str, domain_words: Da
     pairs = F.col("filled") * (F.col("filled") - 1) / 2
     diversity = F.when(F.col("n") >= 2, (1 - F.coalesce("overlap", F.lit(0.0)) / F.greatest(pairs, F.lit(1.0))) * 100).otherwise(0.0)
     score = F.col("depth") * 100 * 0.40 + diversity * 0.30 + F.coalesce(F.col("relevance") * 100, F.lit(50.0)) * 0.30
-    return totals.join(shared, group, "left").select(group, clamp(score).alias("score"))
+    scored = totals.join(shared, group, "left").select(group, clamp(score).alias("score"))
+    return _with_empty(scored, domain_words, group)
+
+
+EMPTY_BASELINE = 30.0
+
+
+def _with_empty(scored: DataFrame, named: DataFrame, group: str) -> DataFrame:
+    """Groups that are named but hold no reference get the fixed score."""
+    every = named.select(group).distinct().join(scored, group, "full")
+    return every.withColumn("score", F.coalesce("score", F.lit(EMPTY_BASELINE)))
 
 
 def domain_words(domain: Column, topics: Column) -> Column:
@@ -80,7 +90,8 @@ def reference_quality(refs: DataFrame, group: str, content: str, topic_words: Da
     a = r.groupBy(group).agg(F.count("*").alias("n"), F.avg("deep").alias("deep"), F.avg("relevant").alias("relevant"))
     score = (
         F.col("deep") * 100 * 0.45 + F.coalesce(F.col("relevant") * 100, F.lit(50.0)) * 0.45 + F.least(F.lit(15.0), F.col("n") * 1.5))
-    return a.select(group, "n", clamp(score, 20.0, 95.0).alias("score"))
+    scored = a.select(group, "n", clamp(score, 20.0, 95.0).alias("score"))
+    return _with_empty(scored, topic_words, group).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def topic_words(topics: Column) -> Column:
@@ -232,10 +243,12 @@ def best_iteration(accuracy: DataFrame, key: str) -> DataFrame:
 
 
 def final_score(pipeline: Column, smoke: Column, trigger: Column) -> Column:
-    """struct<score, grade, strengths, weaknesses> of a build."""
+    """struct<score, grade, verdict, strengths, weaknesses> of a build."""
     score = clamp(F.bround(pipeline * 0.6 + smoke * 0.3 + trigger * 0.1, 1))
     grade = F.when(score >= 80, "A").when(score >= 65, "B").when(score >= 50, "C").when(score >= 35, "D").otherwise("F")
 
+    verdict = F.create_map(*[F.lit(x) for pair in K.VERDICTS.items() for x in pair])[grade]
+
     def listed(*items: Column) -> Column:
         return F.filter(F.array(*items), lambda x: x.isNotNull())
 
@@ -243,7 +256,7 @@ def final_score(pipeline: Column, smoke: Column, trigger: Column) -> Column:
         return F.when(cond, F.format_string(text, F.bround(value, 0)) if value is not None else F.lit(text))
 
     return F.struct(
-        score.alias("score"), grade.alias("grade"),
+        score.alias("score"), grade.alias("grade"), verdict.alias("verdict"),
         listed(
             note(pipeline >= 80, "Strong pipeline quality (%.0f/100)", pipeline),
             note(smoke >= 70, "Good smoke test results (%.0f%%)", smoke),

@@ -254,6 +254,15 @@ def entry_reads(spark, sf):
     return decoded.groupBy("source_url").agg(F.count("*").alias("n"), F.max(F.size("keywords")).alias("longest"))
 
 
+@query("entries_by_source", "S13", f"""
+WITH e AS (SELECT page_id, {_HOST_SQL} AS source_url, url FROM pages), s AS (SELECT DISTINCT source_url FROM e WHERE page_id % 3 = 0)
+SELECT page_id, source_url, url FROM e JOIN s USING (source_url)""")
+def entries_by_source(spark, sf):
+    e = table(spark, sf, "pages").select("page_id", U.host(F.col("url")).alias("source_url"), "url")
+    asked = e.filter(F.col("page_id") % 3 == 0).select("source_url")
+    return R.entries_of(e, asked, "source_url")
+
+
 # --- URLs ----------------------------------------------------------------------------------------
 
 

@@ -82,13 +82,13 @@ def stream_caps(spark, sf):
 
 # --- dedup ---------------------------------------------------------------------------------------
 
-_KW = S.keyword_set("kw", "reps", "rep", "content", K.STOP_DEDUP)
+_KW = S.keyword_set("kw", "reps", "rep", "title || ' ' || content", K.STOP_DEDUP)
 _NUMS = f"list_sort(list_distinct(regexp_extract_all(content, '{T.NUMBER}')))"
 _THR = 0.6
 
 
 @query("issue_pairs", "J7 K3", f"""
-WITH {_ATOMS}, reps AS (SELECT min(idx) AS rep, source, content, gap_filled FROM atoms WHERE source <> 'codebase' GROUP BY source, content, gap_filled), {_KW},
+WITH {_ATOMS}, reps AS (SELECT min(idx) AS rep, source, title, content, gap_filled FROM atoms WHERE source <> 'codebase' GROUP BY source, title, content, gap_filled), {_KW},
 n AS (SELECT id, count(*) AS n FROM kw GROUP BY 1),
 o AS (SELECT x.id AS t, y.id AS b, count(*)::DOUBLE AS c FROM kw x JOIN kw y USING (kw) JOIN reps rx ON rx.rep = x.id AND rx.source = 'transcript' JOIN reps ry ON ry.rep = y.id AND ry.source = 'baseline' GROUP BY 1, 2),
 p AS (SELECT t, b, c / least(nt.n, nb.n) AS overlap FROM o JOIN n nt ON nt.id = t JOIN n nb ON nb.id = b),
@@ -97,15 +97,15 @@ i AS (SELECT t, b, overlap, CASE WHEN overlap >= {_THR}::DOUBLE THEN 'duplicate'
   WHEN len(x.nums) > 0 AND len(y.nums) > 0 AND x.nums <> y.nums THEN CASE WHEN y.gap_filled THEN 'outdated' ELSE 'contradiction' END END AS issue FROM p JOIN f x ON x.rep = t JOIN f y ON y.rep = b)
 SELECT t, b, round(overlap, 6) AS overlap, issue FROM i WHERE issue IS NOT NULL""")
 def issue_pairs(spark, sf):
-    reps = _atoms(spark, sf).filter("source <> 'codebase'").groupBy("source", "content", "gap_filled").agg(F.min("idx").alias("rep"))
+    reps = _atoms(spark, sf).filter("source <> 'codebase'").groupBy("source", "title", "content", "gap_filled").agg(F.min("idx").alias("rep"))
     t, b = (reps.filter(F.col("source") == s) for s in ("transcript", "baseline"))
-    p = D.issue_pairs(t.withColumnRenamed("rep", "t"), b.withColumnRenamed("rep", "b"), "t", "b", "content", _THR)
+    p = D.issue_pairs(t.withColumnRenamed("rep", "t"), b.withColumnRenamed("rep", "b"), "t", "b", "content", _THR, title="title")
     return p.withColumn("overlap", F.round("overlap", 6))
 
 
 @query("cross_source_dedup", "J8 X3 F4")
 def cross_source_dedup(spark, sf):
-    a = _atoms(spark, sf).select("idx", F.col("content").alias("text"), "source", "confidence", "gap_filled")
+    a = _atoms(spark, sf).select("idx", "title", F.col("content").alias("text"), "source", "confidence", "gap_filled")
     out = D.cross_source_dedup(a, _THR)["atoms"]
     return out.select("idx", "source", "conflict_type", F.col("conflict_pair.t_idx").alias("conflict_t"), F.col("conflict_pair.b_idx").alias("conflict_b"))
 
@@ -274,6 +274,11 @@ def _first_topics(spark, sf):
 _TOPICS10 = "t10 AS (SELECT source, regexp_extract(text, '^[^.\\n]*') AS t FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 10)"
 
 
+def _planned(words):
+    """A baseline that has no references yet, beside each run's own."""
+    return words.select(F.lit("planned").alias("source"), F.array().cast("array<string>").alias("words")).limit(1)
+
+
 def _hits_sql(words: str) -> str:
     return f"""h AS (SELECT d.source, d.doc_id, coalesce(sum(CASE WHEN contains(lower(d.text), w.w) THEN 1 ELSE 0 END), 0) AS hits, count(w.w) AS nw FROM documents d LEFT JOIN {words} w ON w.source = d.source GROUP BY 1, 2)"""
 
@@ -287,19 +292,19 @@ p AS (SELECT sx.source, sum(c / least(sx.n, sy.n)) AS overlap FROM o JOIN s sx O
 g AS (SELECT source, count(*) AS n, avg(CASE WHEN w BETWEEN 200 AND 5000 THEN 1.0 WHEN w BETWEEN 50 AND 199 THEN 0.5 WHEN w > 5000 THEN 0.7 ELSE 0.1 END::DOUBLE) AS depth FROM (SELECT source, {S.words('text')} AS w FROM documents) GROUP BY 1),
 rel AS (SELECT source, avg(CASE WHEN hits >= 2 THEN 1.0 ELSE 0 END::DOUBLE) AS rel, max(nw) AS nw FROM h GROUP BY 1)
 SELECT g.source, round(least(100, greatest(0, depth * 40 + CASE WHEN g.n >= 2 THEN (1 - coalesce(overlap, 0) / greatest(f * (f - 1) / 2.0, 1)) * 100 ELSE 0 END * 0.3 + CASE WHEN nw > 0 THEN rel * 100 ELSE 50 END * 0.3)), 6) AS score
-FROM g LEFT JOIN p USING (source) LEFT JOIN f USING (source) LEFT JOIN rel USING (source)""")
+FROM g LEFT JOIN p USING (source) LEFT JOIN f USING (source) LEFT JOIN rel USING (source) UNION ALL SELECT 'planned', 30""")
 def baseline_quality(spark, sf):
     words = _first_topics(spark, sf).select("source", R.domain_words(F.col("source"), F.col("topics")).alias("words"))
-    return R.baseline_quality(_refs_by_source(spark, sf), "source", "content", words).withColumn("score", F.round("score", 6))
+    return R.baseline_quality(_refs_by_source(spark, sf), "source", "content", words.unionByName(_planned(words))).withColumn("score", F.round("score", 6))
 
 
 @query("reference_quality", "A6", f"""
 WITH {_TOPICS10}, dw AS (SELECT DISTINCT source, w FROM (SELECT source, unnest({S.tokens('t', 4)}) AS w FROM t10) WHERE w NOT IN {S.in_list(K.GENERIC_TOPIC)}), {_hits_sql('dw')},
 g AS (SELECT source, count(*) AS n, avg(CASE WHEN {S.words('text')} >= 200 THEN 1.0 ELSE 0 END::DOUBLE) AS deep FROM documents GROUP BY 1), rel AS (SELECT source, avg(CASE WHEN hits >= 2 THEN 1.0 ELSE 0 END::DOUBLE) AS rel, max(nw) AS nw FROM h GROUP BY 1)
-SELECT g.source, n, round(least(95, greatest(20, deep * 45 + CASE WHEN nw > 0 THEN rel * 100 ELSE 50 END * 0.45 + least(15, n * 1.5))), 6) AS score FROM g JOIN rel USING (source)""")
+SELECT g.source, n, round(least(95, greatest(20, deep * 45 + CASE WHEN nw > 0 THEN rel * 100 ELSE 50 END * 0.45 + least(15, n * 1.5))), 6) AS score FROM g JOIN rel USING (source) UNION ALL SELECT 'planned', 0, 30""")
 def reference_quality(spark, sf):
     words = _first_topics(spark, sf).select("source", R.topic_words(F.col("topics")).alias("words"))
-    return R.reference_quality(_refs_by_source(spark, sf), "source", "content", words).withColumn("score", F.round("score", 6))
+    return R.reference_quality(_refs_by_source(spark, sf), "source", "content", words.unionByName(_planned(words))).withColumn("score", F.round("score", 6))
 
 
 @query("baseline_summary", "A26", f"""
@@ -375,6 +380,18 @@ def build_score(spark, sf):
     return R.weighted_build(phases, builds, "k").withColumn("score", F.round("score", 6))
 
 
+@query("presence_score", "A11", """
+SELECT o_orderkey AS k, ((o_totalprice > 100000)::INT + (o_custkey % 3 > 0)::INT + (coalesce(l.n, 0) > 1)::INT + (o_orderstatus = 'F')::INT + (coalesce(l.n, 0) > 0)::INT) / 5.0 * 100 AS score
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
+def presence_score(spark, sf):
+    """Five checks of a published build: document, pillars, every pillar's file, package, atoms."""
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders").join(n, "o_orderkey", "left")
+    atoms = F.coalesce("n", F.lit(0))
+    checks = [F.col("o_totalprice") > 100000, F.col("o_custkey") % 3 > 0, atoms > 1, F.col("o_orderstatus") == "F", atoms > 0]
+    return o.select(F.col("o_orderkey").alias("k"), R.presence(checks).alias("score"))
+
+
 @query("compression_ratio", "A12", f"""
 SELECT source, sum({S.words('text')}) FILTER (doc_id % 3 = 0)::BIGINT AS output_words, sum({S.words('text')})::BIGINT AS input_words, round(sum({S.words('text')}) FILTER (doc_id % 3 = 0)::DOUBLE / greatest(sum({S.words('text')}), 1), 6) AS ratio FROM documents GROUP BY 1""")
 def compression_ratio(spark, sf):
@@ -423,6 +440,7 @@ def best_iteration(spark, sf):
 WITH s AS (SELECT o_orderkey, (o_orderkey * 7 % 101)::DOUBLE AS p, (o_custkey * 13 % 101)::DOUBLE AS m, (o_orderkey * 3 % 101)::DOUBLE AS t FROM orders),
 f AS (SELECT *, least(100, greatest(0, round_even(p * 0.6::DOUBLE + m * 0.3::DOUBLE + t * 0.1::DOUBLE, 1))) AS score FROM s)
 SELECT o_orderkey, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 35 THEN 'D' ELSE 'F' END AS grade,
+ CASE WHEN score >= 80 THEN 'Production-ready' WHEN score >= 65 THEN 'Usable — minor improvements possible' WHEN score >= 50 THEN 'Usable with caveats — consider rebuilding' WHEN score >= 35 THEN 'Below standard — rebuild recommended' ELSE 'Not usable — needs significant rework' END AS verdict,
  concat_ws('; ', CASE WHEN p >= 80 THEN printf('Strong pipeline quality (%d/100)', p::INT) END, CASE WHEN m >= 70 THEN printf('Good smoke test results (%d%%)', m::INT) END, CASE WHEN t >= 80 THEN printf('Excellent trigger accuracy (%d%%)', t::INT) END) AS strengths,
  concat_ws('; ', CASE WHEN p < 60 THEN printf('Low pipeline quality (%d/100)', p::INT) END, CASE WHEN m > 0 AND m < 50 THEN printf('Low smoke test (%d%%) — skill may answer incorrectly', m::INT) WHEN m = 0 THEN 'No smoke test results — quality unverified' END,
   CASE WHEN t > 0 AND t < 60 THEN printf('Low trigger accuracy (%d%%) — skill may not activate', t::INT) END) AS weaknesses FROM f""")
@@ -433,7 +451,7 @@ def final_score(spark, sf):
         return (F.col(col) * k % 101).cast("double")
 
     s = o.select("o_orderkey", R.final_score(of("o_orderkey", 7), of("o_custkey", 13), of("o_orderkey", 3)).alias("f"))
-    return s.select("o_orderkey", "f.score", "f.grade", F.array_join("f.strengths", "; ").alias("strengths"), F.array_join("f.weaknesses", "; ").alias("weaknesses"))
+    return s.select("o_orderkey", "f.score", "f.grade", "f.verdict", F.array_join("f.strengths", "; ").alias("strengths"), F.array_join("f.weaknesses", "; ").alias("weaknesses"))
 
 
 def _builds(spark, sf):
@@ -650,6 +668,13 @@ def build_listing(spark, sf):
     return P.builds_listing(_builds(spark, sf), "completed").select("id", "domain", "status")
 
 
+@query("template_listing", "W6", "SELECT p_partkey AS id, p_type AS name, p_partkey % 7 = 0 AS is_default, p_size AS usage_count FROM part")
+def template_listing(spark, sf):
+    p = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), (F.col("p_partkey") % 7 == 0).alias("is_default"), F.col("p_size").alias("usage_count"))
+    return P.templates_listing(p)
+
+
 @query("baseline_registry", "W6", """
 WITH b AS (SELECT o_custkey AS c_custkey, arg_max(CASE o_orderstatus WHEN 'F' THEN 'ready' ELSE 'pending' END, o_orderkey) AS s, arg_max(coalesce(CASE WHEN o_orderkey % 3 > 0 THEN 'dir' END, ''), o_orderkey) AS p, arg_max(o_orderkey % 20, o_orderkey) AS n FROM orders GROUP BY 1)
 SELECT c_custkey, CASE WHEN s IS NULL THEN 'none' WHEN s = 'ready' AND p <> '' THEN 'ready' ELSE 'pending' END AS baseline, CASE WHEN s = 'ready' AND p <> '' THEN n ELSE 0 END AS refs_count FROM customer LEFT JOIN b USING (c_custkey)""")

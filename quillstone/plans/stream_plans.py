@@ -58,7 +58,7 @@ def event_parse(spark, sf):
     return p.select("event_id", "is_json", "event", "level", "phase", F.when(F.col("is_json") & (F.col("message") == F.col("line")), "whole line").otherwise(F.col("message")).alias("message"))
 
 
-_PHASE_SQL = """own AS (SELECT build, CAST(substring(phase, 2) AS INT) AS rank, arg_max(CASE WHEN status IN ('done', 'failed') THEN status ELSE 'running' END, i) AS st, arg_max(CAST(greatest(0, least(100, w)) AS INT), i) AS pr, max(i) AS o
+_PHASE_SQL = """own AS (SELECT build, CAST(substring(phase, 2) AS INT) AS rank, arg_max(CASE WHEN status = 'done' THEN status ELSE 'running' END, i) AS st, arg_max(CAST(greatest(0, least(100, w)) AS INT), i) AS pr, max(i) AS o
   FROM l WHERE event = 'phase' AND length(phase) = 2 GROUP BY 1, 2),
 g AS (SELECT DISTINCT build, r.rank FROM l CROSS JOIN range(7) r(rank)), done AS (SELECT DISTINCT build FROM l WHERE event = 'complete' AND status = 'completed'),
 x AS (SELECT g.build, g.rank, coalesce(st, 'pending') AS st, coalesce(pr, 0) AS pr, (SELECT max(o) FROM own h WHERE h.build = g.build AND h.rank > g.rank) > coalesce(o, -1) AS passed, g.build IN (SELECT build FROM done) AS fin FROM g LEFT JOIN own USING (build, rank)),

@@ -46,7 +46,7 @@ def facts(events: DataFrame, build: str, ord_: str) -> DataFrame:
     """(build, field, ord, value) rows of parsed events; value is text."""
     event = F.col("event")
     known = F.col("phase").rlike("^p[0-6]$")
-    status = F.when(F.col("status").isin("done", "failed"), F.col("status")).otherwise("running")
+    status = F.when(F.col("status") == "done", "done").otherwise("running")  # a failed phase may still report
     progress = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.coalesce("progress", F.lit(0.0))))).cast("string")
 
     def fact(cond: Column, field: Column, value: Column) -> Column:
