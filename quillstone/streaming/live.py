@@ -13,48 +13,51 @@ from ..session import shared_dir
 from . import events as E
 
 
+FACTS = "build long, field string, value string, ord long"
+
+
 def _folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillstone/{label}-{uuid.uuid4().hex}"
 
 
-def merge_state(previous: DataFrame | None, batch: DataFrame, build: str, ord_: str) -> DataFrame:
-    """Current facts after one micro-batch; replaying a batch changes nothing."""
-    new = E.facts(batch, build, ord_)
-    both = new if previous is None else previous.unionByName(new)
-    return E.current(both)
+def live_state(spark: SparkSession, root: str) -> DataFrame:
+    """Current facts of a state folder: the latest of what its micro-batches changed."""
+    return E.current(spark.read.schema(FACTS).parquet(f"{root}/changes"))
 
 
-def run_live_state(stream: DataFrame, build: str, ord_: str) -> DataFrame:
-    """Drain ``stream`` of parsed events into versioned state tables; returns the last version.
+def run_live_state(stream: DataFrame, build: str, ord_: str, root: str | None = None) -> DataFrame:
+    """Drain ``stream`` of parsed events into the state folder ``root``; returns the state.
 
-    Each micro-batch writes version n from version n - 1, so a repeated batch
-    rewrites the same version.  Lines that are no JSON go to a quarantine table.
+    A micro-batch writes the facts it changed under its own number, so its work follows the
+    batch and not the state, and a repeated batch rewrites the same rows.  Progress is kept in
+    ``root`` too: a later run over the same source goes on where this one stopped.  Without
+    ``root`` a new folder is taken.  Lines that are no JSON go to a quarantine table.
     """
     spark = stream.sparkSession
-    root = _folder(spark, "state")
-    schema = "build long, field string, value string, ord long"
-
-    def previous(batch_id: int) -> DataFrame | None:
-        return spark.read.schema(schema).parquet(f"{root}/v={batch_id - 1}") if batch_id else None
+    root = root or _folder(spark, "state")
+    spark.createDataFrame([], FACTS).write.mode("ignore").parquet(f"{root}/changes/b=-1")  # a stream may be empty
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.filter(~F.col("is_json")).select(ord_, "message").write.mode("overwrite").parquet(f"{root}/quarantine/b={batch_id}")
-        merge_state(previous(batch_id), batch, build, ord_).select(
-            "build", "field", "value", "ord").write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        E.current(E.facts(batch, build, ord_)).select("build", "field", "value", "ord").write.mode("overwrite").parquet(
+            f"{root}/changes/b={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).start())
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(schema).parquet(f"{root}/v={last}")
+    return live_state(spark, root)
 
 
-def run_log_tail(stream: DataFrame, ord_: str, ts: str, within: str = "10 minutes") -> DataFrame:
-    """Append log rows once per event id; the watermark bounds the state of seen ids."""
+def run_log_tail(stream: DataFrame, ord_: str, ts: str, within: str = "10 minutes", root: str | None = None) -> DataFrame:
+    """Append log rows once per event id; the watermark bounds the state of seen ids.
+
+    Rows, seen ids and progress stay in ``root``, so a later run goes on from there.
+    """
     spark = stream.sparkSession
-    root = _folder(spark, "logs")
+    root = root or _folder(spark, "logs")
     once = stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([ord_])
+    spark.createDataFrame([], once.schema).write.mode("ignore").parquet(f"{root}/data")  # the sink's own log hides this file
     query = (
         once.writeStream.format("parquet").option("path", f"{root}/data").option("checkpointLocation", f"{root}/checkpoint")
         .outputMode("append").trigger(availableNow=True).start())
@@ -62,57 +65,47 @@ def run_log_tail(stream: DataFrame, ord_: str, ts: str, within: str = "10 minute
     return spark.read.schema(once.schema).parquet(f"{root}/data")
 
 
+SUMS = "build long, last_ord long, events long, completed boolean"
 STATE = "last_ord long, events long, completed boolean"
-OUT = "build long, shard int, last_ord long, events long, status string"
-SHARDS = 8
+OUT = "build long, last_ord long, events long, status string"
+SILENCE_MS = 3_600_000
 
 
-def _reduce(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Liveness of one shard of a build: latest event, event count, completion, silence."""
-    last, n, completed = state.get if state.exists else (-1, 0, False)
-    if state.hasTimedOut:
-        status = "completed" if completed else "failed"
-        state.remove()
-        yield pd.DataFrame([(*key, last, n, status)], columns=["build", "shard", "last_ord", "events", "status"])
-        return
+def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per build of what a task has read, so that few rows reach the state."""
     for f in frames:
-        last = max(last, int(f["ord"].max()))
-        n += len(f)
-        completed = completed or bool(f["completed"].any())
-    state.update((last, n, completed))
-    state.setTimeoutDuration(_reduce.silence_ms)
-    yield pd.DataFrame([(*key, last, n, "completed" if completed else "running")],
-                       columns=["build", "shard", "last_ord", "events", "status"])
+        yield f.groupby("build", as_index=False).agg(last_ord=("ord", "max"), events=("ord", "size"), completed=("completed", "any"))
 
 
-_reduce.silence_ms = 3_600_000
+def reduce_build(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Liveness of a build: latest event, event count, completion; failed after a silence without completion."""
+    last, n, completed = state.get if state.exists else (-1, 0, False)
+    if state.hasTimedOut:
+        state.remove()
+        status = "completed" if completed else "failed"
+    else:
+        for f in frames:
+            last, n, completed = max(last, int(f["last_ord"].max())), n + int(f["events"].sum()), completed or bool(f["completed"].any())
+        state.update((last, n, completed))
+        state.setTimeoutDuration(SILENCE_MS)
+        status = "completed" if completed else "running"
+    yield pd.DataFrame([(*key, last, n, status)], columns=["build", "last_ord", "events", "status"])
 
 
 def liveness(stream: DataFrame, build: str, ord_: str) -> DataFrame:
-    """Stateful reducer keyed by (build, shard), so that a busy build is spread over tasks.
-
-    A silent shard that saw no completion is reported failed; ``combine`` puts
-    the shards of a build together.
-    """
+    """Stateful reducer keyed by build, fed with one row per build and task."""
     slim = stream.select(
-        F.col(build).alias("build"), F.pmod(F.xxhash64(ord_), F.lit(SHARDS)).cast("int").alias("shard"), F.col(ord_).alias("ord"),
+        F.col(build).alias("build"), F.col(ord_).alias("ord"),
         F.coalesce((F.col("event") == "complete") & (F.col("status") == "completed"), F.lit(False)).alias("completed"))
-    return slim.groupBy("build", "shard").applyInPandasWithState(
-        _reduce, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def combine(shards: DataFrame) -> DataFrame:
-    """One row per build: completed if any shard is, failed only if all are silent."""
-    done = F.max((F.col("status") == "completed").cast("int")) == 1
-    silent = F.min((F.col("status") == "failed").cast("int")) == 1
-    return shards.groupBy("build").agg(
-        F.max("last_ord").alias("last_ord"), F.sum("events").alias("events"),
-        F.when(done, "completed").when(silent, "failed").otherwise("running").alias("status"))
+    return slim.mapInPandas(_combine, SUMS).groupBy("build").applyInPandasWithState(
+        reduce_build, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_liveness(stream: DataFrame, build: str, ord_: str) -> DataFrame:
+def run_liveness(stream: DataFrame, build: str, ord_: str, root: str | None = None) -> DataFrame:
+    """Drain ``stream``; latest (build, last_ord, events, status).  State and progress stay in ``root``."""
     spark = stream.sparkSession
-    root = _folder(spark, "liveness")
+    root = root or _folder(spark, "liveness")
+    spark.createDataFrame([], OUT).write.mode("ignore").parquet(f"{root}/data/b=-1")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/data/b={batch_id}")
@@ -127,5 +120,5 @@ def run_liveness(stream: DataFrame, build: str, ord_: str) -> DataFrame:
     spark.conf.set(setting, before)
     query.awaitTermination()
     rows = spark.read.schema(OUT + ", b int").parquet(f"{root}/data")
-    last = rows.groupBy("build", "shard").agg(F.max_by(F.struct("last_ord", "events", "status"), "b").alias("s"))
-    return combine(last.select("build", "shard", "s.*"))
+    last = rows.groupBy("build").agg(F.max_by(F.struct("last_ord", "events", "status"), "b").alias("s"))
+    return last.select("build", "s.*")
