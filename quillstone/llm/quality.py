@@ -21,7 +21,7 @@ THRESHOLD = 0.3
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, settings: subword.Settings = SETTINGS) -> subword.Margins:
-    return subword.fit(*subword.sample(docs, labels, "quality", rows), settings)
+    return subword.learn(docs, labels, "quality", rows, settings)
 
 
 def score(docs: DataFrame, margins: subword.Margins, threshold: float = THRESHOLD) -> DataFrame:

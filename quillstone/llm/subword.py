@@ -8,17 +8,20 @@ time, by Adagrad steps.  Unseen spellings share n-grams with seen ones.
 ``shapes`` adds word n-grams to the bag by their form: each window of three words is named by
 where its words first occur in it ("012" for three different ones, "000" for one repeated).
 
-Fitting is on the driver and on a bounded sample.  A fitted two-class model is linear in the
+Fitting is one task on a bounded sample.  A fitted two-class model is linear in the
 bag, so executors get one number per table slot (``margins``) and keep a memo of word values.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import MEMO_CHARS, MEMO_ROWS, learned_from, whole_text
@@ -37,6 +40,7 @@ class Settings:
     epochs: int = 12
     rate: float = 0.5
     scale: float = 16.0  # the average is multiplied by it before the softmax
+    damping: float = 1e-6  # squared gradients that every slot starts with; higher values hold rare slots back
     seed: int = 42
 
 
@@ -71,26 +75,25 @@ def shape_shares(ids: np.ndarray) -> np.ndarray:
 
 def bags(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text its table slots, each once, and their weights in the average."""
-    known: dict[str, np.ndarray] = {}
+    known: dict[str, array] = {}
     out = []
     for text in texts:
         words = words_of(text, s)
         index: dict[str, int] = {}
         ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        slots, weights = [], []
-        for w, n in zip(index, np.bincount(ids, minlength=len(index))):
+        for w in index:
             if w not in known:
-                known[w] = np.array(subwords(w, s), np.int64)
-            slots.append(known[w])
-            weights.append(np.full(len(known[w]), n / len(words) / len(known[w])))
+                known[w] = array("i", subwords(w, s))
+        sizes = np.fromiter((len(known[w]) for w in index), np.int64, len(index))
+        slots = np.fromiter(chain.from_iterable(map(known.__getitem__, index)), np.int32, int(sizes.sum()))
+        weights = np.repeat(np.bincount(ids, minlength=len(index)) / max(len(words), 1) / np.maximum(sizes, 1), sizes)
         if s.shapes:
-            slots.append(s.buckets + np.arange(len(SHAPES)))
-            weights.append(shape_shares(ids))
-        if not slots:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
-            continue
-        unique, where = np.unique(np.concatenate(slots), return_inverse=True)
-        out.append((unique.astype(np.int32), np.bincount(where, np.concatenate(weights)).astype(np.float32)))
+            slots = np.concatenate([slots, s.buckets + np.arange(len(SHAPES), dtype=np.int32)])
+            weights = np.concatenate([weights, shape_shares(ids)])
+        unique, where = np.unique(slots, return_inverse=True)
+        out.append((unique.astype(np.int32), np.bincount(where, weights, len(unique)).astype(np.float32)))
+        if len(known) > MEMO_ROWS:
+            known.clear()
     return out
 
 
@@ -99,7 +102,7 @@ def fit(texts: list[str], labels: list[int], s: Settings) -> Margins:
     rng = np.random.default_rng(s.seed)
     size = s.buckets + len(SHAPES)
     vectors = rng.uniform(-1 / s.dims, 1 / s.dims, (size, s.dims)).astype(np.float32)
-    seen = np.full(size, 1e-6, np.float32)
+    seen = np.full(size, s.damping, np.float32)
     top = rng.uniform(-0.5, 0.5, (s.dims, 2)).astype(np.float32)
     seen_top = np.full((s.dims, 2), 1e-2, np.float32)
     share = (sum(labels) + 0.5) / (len(labels) + 2)
@@ -162,8 +165,8 @@ class Scorer:
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``rows`` labelled documents that may be learned from.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """``_text, _label`` of at most ``rows`` labelled documents that may be learned from.
 
     The choice is by a hash of the id and so the same on every run; null labels and ids take
     no part, a doubly labelled document counts by its highest label.
@@ -175,10 +178,23 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[l
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    # at most ``rows`` ids are broadcast, and as many texts return (more if an id repeats)
+    # at most ``rows`` ids are broadcast, and as many texts are kept (an id may repeat)
     found = docs.select("doc_id", whole_text().alias("_text")).join(F.broadcast(chosen), "doc_id")
-    got = found.select("doc_id", "_text", "_label").orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(rows).toArrow()
-    return got.column("_text").to_pylist(), got.column("_label").to_pylist()
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(rows).select("_text", "_label")
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str, rows: int, s: Settings) -> Margins:
+    """Fit on the bounded sample, in one task; the driver gets one number per slot."""
+
+    def run(batches):
+        parts = [(b.column("_text").to_pylist(), b.column("_label").to_pylist()) for b in batches]
+        m = fit(list(chain.from_iterable(p[0] for p in parts)), list(chain.from_iterable(p[1] for p in parts)), s)
+        yield pa.record_batch([pa.array([m.slots.tobytes()], pa.binary()), pa.array([m.bias], pa.float64())], names=["slots", "bias"])
+
+    row = sample(docs, labels, label, rows).coalesce(1).mapInArrow(run, "slots binary, bias double").first()
+    if row is None:  # nothing was labelled
+        return fit([], [], s)
+    return Margins(s, np.frombuffer(row.slots, np.float32), row.bias)
 
 
 _SCORERS: dict[int, Scorer] = {}

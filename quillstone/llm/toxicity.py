@@ -19,12 +19,12 @@ from .common import learned_from, map_rows, whole_text
 
 #: The sample that is fitted holds this many labelled documents at most.
 SAMPLE_ROWS = 8_000
-SETTINGS = subword.Settings(buckets=1 << 19, dims=4, epochs=6, rate=0.2, scale=32.0, lower=True)
+SETTINGS = subword.Settings(buckets=1 << 19, dims=4, epochs=10, rate=0.25, scale=32.0, damping=1e-3)
 THRESHOLD = 0.5
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, settings: subword.Settings = SETTINGS) -> subword.Margins:
-    return subword.fit(*subword.sample(docs, labels, "toxic", rows), settings)
+    return subword.learn(docs, labels, "toxic", rows, settings)
 
 
 def with_score(docs: DataFrame, margins: subword.Margins, name: str, text: str = "text") -> DataFrame:

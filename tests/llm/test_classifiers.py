@@ -72,10 +72,10 @@ def test_one_label_gives_its_share_everywhere():
 def test_sample_never_holds_held_out_rows(spark, documents):
     docs = documents([(i, f"text {i}") for i in range(200)])
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
-    texts, _ = subword.sample(docs, labels, "toxic", 1000)
-    learned = {int(t.split()[1]) for t in texts}
+    texts = subword.sample(docs, labels, "toxic", 1000).collect()
+    learned = {int(r._text.split()[1]) for r in texts}
     assert learned == {i for i in range(200) if crc32(str(i).encode()) % 5}
-    assert len(subword.sample(docs, labels, "toxic", 10)[0]) == 10
+    assert subword.sample(docs, labels, "toxic", 10).count() == 10
 
 
 def test_odd_rows(spark, documents, odd, model):
