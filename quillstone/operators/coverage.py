@@ -8,6 +8,7 @@ from ..functions import arrays, constants as K, text as T
 from ..session import materialise
 from .matching import best_reference, word_tokens
 from .ranking import ranked
+from .urls import HOST
 
 
 def match_topics(topics: DataFrame, key: str, topic: str, refs: DataFrame, ref: str, content: str) -> DataFrame:
@@ -131,12 +132,29 @@ def topic_files(topics: DataFrame, topic: str, order: str, file: str) -> DataFra
 MAX_REFERENCE = 30_000
 
 
+TRUNCATED = "\n\n*[Truncated]*"
+
+
+def cut_reference(content: Column) -> Column:
+    """A reference text, cut with a note where it is over the limit that references have."""
+    return F.when(F.length(content) > MAX_REFERENCE, F.concat(F.left(content, F.lit(MAX_REFERENCE)), F.lit(TRUNCATED))).otherwise(content)
+
+
+def baseline_references(refs: DataFrame, ord_: str, url: str, content: str) -> DataFrame:
+    """``refs`` with the stored text, its file name (position and first label of the host) and token estimate."""
+    label = F.substring_index(F.replace(F.regexp_extract(url, HOST, 1), F.lit("www."), F.lit("")), ".", 1)
+    name = F.concat(F.format_string("ref_%03d_", F.col(ord_) + 1), label, F.lit(".md"))
+    return refs.withColumn(content, cut_reference(F.col(content))).withColumns({"name": name, "tokens": T.estimate_tokens(F.col(content))})
+
+
 def baseline_summary(refs: DataFrame, group: str, ord_: str, content: str, ok: Column) -> DataFrame:
-    """One row per baseline: references, token totals, crawl counts, truncations, first file name."""
+    """One row per baseline: references, token totals of the stored texts, crawl counts, truncations, first file name."""
+    refs = refs.select(group, ord_, cut_reference(F.col(content)).alias(content), ok.alias("_ok"), (F.length(content) > MAX_REFERENCE).alias("_cut"))
+    ok, cut = F.col("_ok"), F.col("_cut")
     words = T.word_count(F.col(content))
     name = F.concat(F.format_string("ref_%03d_", F.col(ord_) + 1), F.col(group), F.lit(".md"))
     return refs.groupBy(group).agg(
         F.count("*").alias("refs"), F.sum(T.estimate_tokens(F.col(content))).alias("total_tokens"),
         F.floor(F.sum(words * F.lit(1.3))).cast("long").alias("word_tokens"),
         F.count(F.when(ok, 1)).alias("crawled_ok"), F.count(F.when(~ok, 1)).alias("crawled_fail"),
-        F.count(F.when(F.length(content) > MAX_REFERENCE, 1)).alias("truncated"), F.min(name).alias("first_name"))
+        F.count(F.when(cut, 1)).alias("truncated"), F.min(name).alias("first_name"))

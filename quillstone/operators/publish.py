@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
-from .ranking import latest, ranked, running_total
+from .ranking import latest, running_total
 from .urls import top_rows
 
 
@@ -22,7 +22,8 @@ def top_labels(df: DataFrame, group: str, ord_: str, label: str, n: int) -> Data
     )
 
 
-PART = 500
+#: Characters of a part: a row starts a new part when this many lie before it.
+PART_CHARS = 1 << 20
 
 
 def build_metadata(atoms: DataFrame, build: str) -> DataFrame:
@@ -56,17 +57,19 @@ def pattern_type(tags: Column, types: tuple[str, ...]) -> Column:
 
 
 def pillar_parts(atoms: DataFrame, category: str, order: str) -> DataFrame:
-    """Pillar documents as numbered parts of at most ``PART`` atoms.
+    """Pillar documents as numbered parts of about ``PART_CHARS`` characters.
 
-    A pillar may hold any share of the atoms: ranking and gathering are split,
-    and the parts concatenated in order are the document.
+    A pillar may hold any share of the atoms: positions are running sums over ranges, a part
+    gathers a bounded length, and the parts joined by newlines in order are the document.
     """
     entry = F.concat(
         F.lit("## "), F.coalesce("title", F.lit("Untitled")), F.lit("\n\n"), F.coalesce("content", F.lit("")),
         F.when(F.size("tags") > 0, F.concat(F.lit("\n\n*Tags: "), F.array_join("tags", ", "), F.lit("*"))).otherwise(""), F.lit("\n"))
-    numbered = ranked(atoms.withColumn("_md", entry), [F.col(order)], "_n", [category])
-    parts = numbered.withColumn("part", F.floor((F.col("_n") - 1) / PART)).groupBy(category, "part").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_md"))), lambda x: x["_md"]), "\n").alias("body"),
+    slim = atoms.select(category, order, entry.alias("_md"))
+    placed = running_total(slim, [F.col(order)], F.length("_md") + 1, "_end", (category,))
+    start = F.col("_end") - F.length("_md") - 1
+    parts = placed.withColumn("part", F.floor(start / PART_CHARS)).groupBy(category, "part").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_end", "_md"))), lambda x: x["_md"]), "\n").alias("body"),
         F.count("*").alias("atoms"))
     head = F.when(F.col("part") == 0, F.concat(F.lit("# "), F.col(category), F.lit("\n\n"))).otherwise("")
     return parts.select(category, "part", "atoms", F.concat(head, "body").alias("markdown"))
@@ -279,8 +282,8 @@ def compare_builds(builds: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 def merge_chapters(chapters: DataFrame, book: str, name: str, text: str) -> DataFrame:
     """Numbered chapters of a book in one document, if it has at least two.
 
-    Written as parts of at most ``PART`` chapters; a book of any size is
-    ranked and gathered in pieces.
+    Written as parts of about ``PART_CHARS`` characters; a book of any size is
+    placed and gathered in pieces.
     """
     number = F.regexp_extract(name, r"(?i)^(\d{1,3})[\s._-]+(.+)\.pdf$", 1)
     body = T.strip(F.col(text))
@@ -288,7 +291,9 @@ def merge_chapters(chapters: DataFrame, book: str, name: str, text: str) -> Data
         book, F.col(name).alias("_name"), F.col("_n").cast("int").alias("_n"), body.alias("_body"))
     sizes = kept.groupBy(book).agg(F.count("*").alias("chapters")).filter(F.col("chapters") >= 2)
     part = F.concat(F.lit("\n--- "), "_name", F.lit(" ---\n\n"), "_body")
-    placed = ranked(kept.filter(F.length("_body") > 0).withColumn("_part", part), [F.col("_n"), F.col("_name")], "_r", [book])
-    merged = placed.groupBy(book, F.floor((F.col("_r") - 1) / PART).alias("part")).agg(
-        T.strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_part"))), lambda x: x["_part"]), "\n\n")).alias("merged"))
+    slim = kept.filter(F.length("_body") > 0).select(book, "_n", "_name", part.alias("_part"))
+    placed = running_total(slim, [F.col("_n"), F.col("_name")], F.length("_part") + 2, "_end", (book,))
+    start = F.col("_end") - F.length("_part") - 2
+    merged = placed.groupBy(book, F.floor(start / PART_CHARS).alias("part")).agg(
+        T.strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_end", "_part"))), lambda x: x["_part"]), "\n\n")).alias("merged"))
     return merged.join(sizes, book).select(book, "part", "chapters", "merged")

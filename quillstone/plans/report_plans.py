@@ -307,9 +307,22 @@ def reference_quality(spark, sf):
     return R.reference_quality(_refs_by_source(spark, sf), "source", "content", words.unionByName(_planned(words))).withColumn("score", F.round("score", 6))
 
 
+_CUT_REF = f"CASE WHEN length(text) > 30000 THEN left(text, 30000) || {S.NL} || {S.NL} || '*[Truncated]*' ELSE text END"
+
+
+@query("baseline_references", "A26", f"""
+WITH p AS (SELECT page_id, url, html AS text FROM pages)
+SELECT page_id, printf('ref_%03d_', page_id + 1) || split_part(replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', ''), '.', 1) || '.md' AS name,
+ {_CUT_REF} AS content, length({_CUT_REF}) // 4 AS tokens FROM p""")
+def baseline_references(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url", F.col("html").alias("text"))
+    return C.baseline_references(p, "page_id", "url", "text").select("page_id", "name", F.col("text").alias("content"), "tokens")
+
+
 @query("baseline_summary", "A26", f"""
+WITH d AS (SELECT source, doc_id, length(text) > 30000 AS cut, {_CUT_REF} AS text, {S.words('text')} >= 200 AS ok FROM documents)
 SELECT source, count(*) AS refs, sum(length(text) // 4)::BIGINT AS total_tokens, CAST(trunc(sum({S.words('text')} * 1.3::DOUBLE)) AS BIGINT) AS word_tokens,
- count(*) FILTER ({S.words('text')} >= 200) AS crawled_ok, count(*) FILTER ({S.words('text')} < 200) AS crawled_fail, sum(length(text) > 30000)::BIGINT AS truncated, min(printf('ref_%03d_', doc_id + 1) || source || '.md') AS first_name FROM documents GROUP BY 1""")
+ count(*) FILTER (ok) AS crawled_ok, count(*) FILTER (NOT ok) AS crawled_fail, sum(cut)::BIGINT AS truncated, min(printf('ref_%03d_', doc_id + 1) || source || '.md') AS first_name FROM d GROUP BY 1""")
 def baseline_summary(spark, sf):
     d = table(spark, sf, "documents").withColumn("w", T.word_count(F.col("text")))
     return C.baseline_summary(d, "source", "doc_id", "text", F.col("w") >= 200)
@@ -581,8 +594,9 @@ def tip_classes(spark, sf):
 
 
 @query("pillar_documents", "A28", f"""
-WITH {_ATOMS}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY idx) AS n, '## ' || title || {S.NL} || {S.NL} || content || {S.NL} || {S.NL} || '*Tags: ' || array_to_string(tags, ', ') || '*' || {S.NL} AS md FROM atoms)
-SELECT category, (n - 1) // 500 AS part, count(*) AS atoms, CASE WHEN (n - 1) // 500 = 0 THEN '# ' || category || {S.NL} || {S.NL} ELSE '' END || string_agg(md, {S.NL} ORDER BY n) AS markdown FROM r GROUP BY category, (n - 1) // 500""")
+WITH {_ATOMS}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY idx) AS n, '## ' || title || {S.NL} || {S.NL} || content || {S.NL} || {S.NL} || '*Tags: ' || array_to_string(tags, ', ') || '*' || {S.NL} AS md FROM atoms),
+p AS (SELECT *, CAST((sum(length(md) + 1) OVER (PARTITION BY category ORDER BY n) - length(md) - 1) // {P.PART_CHARS} AS BIGINT) AS part FROM r)
+SELECT category, part, count(*) AS atoms, CASE WHEN part = 0 THEN '# ' || category || {S.NL} || {S.NL} ELSE '' END || string_agg(md, {S.NL} ORDER BY n) AS markdown FROM p GROUP BY category, part""")
 def pillar_documents(spark, sf):
     return P.pillar_parts(_atoms(spark, sf), "category", "idx")
 
