@@ -1,8 +1,8 @@
-"""Every registered query against its DuckDB oracle on the smallest tables."""
+"""Every query of the catalog against its DuckDB oracle on the smallest tables."""
 
 import pytest
 
-import __spark_entry__ as entry
+from quillstone.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +13,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    ok, detail, _ = compare(spark, con, entry.queries()[name], entry.oracle_sql().get(name), SF)
+    ok, detail, _ = compare(spark, con, QUERIES[name], ORACLES.get(name), SF, name)
     assert ok, detail
