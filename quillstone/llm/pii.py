@@ -189,7 +189,7 @@ def discovered(docs: DataFrame, text: Column) -> DataFrame:
     held = instances.filter(F.col("trust") >= CONFIDENT).select("core", "kind", F.col("trust").alias("_t"))
     open_ = seen.filter("kind is null").drop("kind")
     kinds = F.array(*map(F.lit, KINDS))
-    return (
+    found = (
         open_.select("text_key", "start", "end", "core", F.explode("patterns").alias("pattern"))
         .join(sure, "pattern")
         .join(held, ["core", "kind"])
@@ -198,6 +198,7 @@ def discovered(docs: DataFrame, text: Column) -> DataFrame:
         .groupBy("text_key")
         .agg(F.collect_list(F.struct(F.array_position(kinds, F.col("kind")).alias("k"), "start", "end")).alias("found"))
     )
+    return materialise(found, "pii-found")  # a plain table, so that the join with the texts has two plain shuffles
 
 
 def all_spans() -> Column:

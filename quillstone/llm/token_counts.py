@@ -25,7 +25,7 @@ import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from .common import MEMO_CHARS, MEMO_ROWS, groups, map_rows, whole_text
 
 CACHE_SCHEMA = "content_digest string, version_digest string, n_tokens long"
@@ -118,7 +118,8 @@ def count_tokens(
     new.select("content_digest", F.lit(version).alias("version_digest"), "n_tokens").write.mode("append").parquet(cache)
 
     rows = keyed.select("doc_id", F.octet_length("_text").cast("long").alias("n_bytes"), digest)
-    return rows.join(stored(), "content_digest").select(
+    counts = materialise(stored(), "token-counts")  # a plain table, so that the join has two plain shuffles
+    return rows.join(counts, "content_digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER_LIMIT).alias("over_limit"), "content_digest"
     )
 
