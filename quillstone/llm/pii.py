@@ -69,14 +69,31 @@ def tester(kind: str):
     return lambda found: valid(kind, found)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches with their places: array of (start, end, of).
+def tester_of_span(kind: str):
+    return lambda span: valid(kind, span["of"])
+
+
+def matched(text: Column, pattern: str, name: str, when: Column) -> list[Column]:
+    """Two columns: the matches in a text, and what lies between them; both empty unless ``when``.
+
+    They are columns of their own projection, since what follows uses them several times and
+    an expression inside it would be searched for as often.
+    """
+    none = F.array().cast("array<string>")
+    return [
+        F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{name}_hits"),
+        F.when(when, F.split(text, pattern, -1)).otherwise(none).alias(f"{name}_gaps"),
+    ]
+
+
+def located(name: str) -> Column:
+    """The matches of ``matched`` with their places: array of (start, end, of).
 
     Places are running sums of the lengths of gaps and matches, taken in blocks so that the
     cost of appending stays low in texts with very many matches.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(f"{name}_gaps", lambda g: F.length(g).cast("long"))
+    hits = F.col(f"{name}_hits")
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("of")))
     size = lambda p: p["gap"] + F.length(p["of"])
     none = F.array().cast("array<bigint>")
@@ -100,15 +117,16 @@ def located(text: Column, pattern: str) -> Column:
     return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(SPAN))
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    spans = F.filter(located(text, BASE[kind]), lambda s: valid(kind, s["of"]))
-    needs = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
-    return F.when(needs & (text.rlike("[0-9]") if kind != "email" else F.lit(True)), spans).otherwise(F.array().cast(SPAN))
+def with_base(docs: DataFrame, text: Column, keep: Column) -> DataFrame:
+    """``keep`` with ``text_key`` and one column of spans per kind."""
 
+    def needed(kind: str) -> Column:
+        held = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
+        return held if kind == "email" else held & text.rlike("[0-9]")
 
-def with_base(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """``keep`` with ``text_key`` and one column of spans per kind."""
-    return docs.select(*keep, F.sha2(text.cast("binary"), 256).alias("text_key"), *[base_spans(text, k).alias(k) for k in KINDS])
+    raw = [c for k in KINDS for c in matched(text, BASE[k], k, needed(k))]
+    found = docs.select(keep.alias("kept"), F.sha2(text.cast("binary"), 256).alias("text_key"), *raw)
+    return found.select("kept", "text_key", *[F.filter(located(k), tester_of_span(k)).alias(k) for k in KINDS])
 
 
 def outline(of: Column) -> Column:
@@ -120,10 +138,8 @@ def mentions(docs: DataFrame, text: Column) -> DataFrame:
     """Every mention of every different text: ``text_key, start, end, core, kind`` (null if no seed) and ``patterns``."""
     rows = docs.select(text.alias("text")).filter(F.col("text").rlike("[0-9@]"))
     parts = rows.select(
-        F.sha2(F.col("text").cast("binary"), 256).alias("text_key"),
-        located(F.col("text"), MENTION).alias("spans"),
-        F.split("text", MENTION, -1).alias("gaps"),
-    )
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_key"), *matched(F.col("text"), MENTION, "mention", F.lit(True))
+    ).select("text_key", located("mention").alias("spans"), F.col("mention_gaps").alias("gaps"))
     one = parts.select("text_key", "gaps", F.posexplode("spans").alias("i", "span"))
     left = F.lower(F.substring(F.element_at("gaps", F.col("i") + 1), -CONTEXT_CHARS, CONTEXT_CHARS))
     right = F.lower(F.substring(F.element_at("gaps", F.col("i") + 2), 1, CONTEXT_CHARS))
@@ -219,7 +235,7 @@ def listed(spans: Column) -> Column:
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, base counts per kind, ``base_sha256``, ``spans``."""
     body = whole_text(text)
-    based = with_base(docs, body, [F.col(doc_id).cast("long").alias("doc_id")])
+    based = with_base(docs, body, F.col(doc_id).cast("long")).withColumnRenamed("kept", "doc_id")
     joined = based.join(discovered(docs, body), "text_key", "left")
 
     def named(kind: str):
@@ -235,8 +251,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in brackets; null texts stay null."""
     names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    based = with_base(docs, whole_text(), [row])
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    based = with_base(docs, whole_text(), row).withColumnRenamed("kept", "row")
     spans = F.array_sort(F.transform(all_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
     joined = based.join(discovered(docs, whole_text()), "text_key", "left").select("row", spans.alias("spans"))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
