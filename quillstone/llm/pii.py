@@ -6,12 +6,15 @@ expressions are written with possessive repeats, so that long runs are read once
 
 Contexts.  A *mention* is a run of words that hold a digit or an ``@``.  Mentions with a base
 match are seeds of its kind.  The words around a mention, at three widths, are its lexical
-patterns, each with the outline of the mention (digits and letters by class).  Patterns and
+patterns; the mention's own form is no part of them, so that a context learned from seeds finds
+identifiers written in any other way.  Patterns and
 instances (the mention's text) form a graph with counted edges.  Round by round a pattern's
 confidence is the share of its edges that lead to trusted instances, damped for rare patterns,
 and an instance's is one minus the product of its patterns' doubts; seeds stay at one for their
-kind and zero for the others.  Patterns in high confidence with several seeds then mark the
-other mentions they surround: identifiers no expression knows.
+kind and zero for the others, and any other instance counts for a pattern once it is held with
+``CONFIDENT`` trust, so that a few seeds among many plain numbers carry nothing.  Patterns in high confidence with several seeds then mark the
+other mentions they surround: identifiers no expression knows.  An identifier without any digit or
+``@`` is no mention and is not found.
 
 Everything is DataFrame functions.  Texts stay in their rows; the graph has only mentions, is
 summed by (pattern, instance) before any shuffle to a pattern, and its joins are plain ones on
@@ -129,11 +132,6 @@ def with_base(docs: DataFrame, text: Column, keep: Column) -> DataFrame:
     return found.select("kept", "text_key", *[F.filter(located(k), tester_of_span(k)).alias(k) for k in KINDS])
 
 
-def outline(of: Column) -> Column:
-    """Digits as 9, runs of letters as a; lengths of digit runs stay."""
-    return F.regexp_replace(F.regexp_replace(of, "[0-9]", "9"), r"\p{L}+", "a")
-
-
 def mentions(docs: DataFrame, text: Column) -> DataFrame:
     """Every mention of every different text: ``text_key, start, end, core, kind`` (null if no seed) and ``patterns``."""
     rows = docs.select(text.alias("text")).filter(F.col("text").rlike("[0-9@]"))
@@ -152,11 +150,9 @@ def mentions(docs: DataFrame, text: Column) -> DataFrame:
     )
     holds = {k: F.filter(F.regexp_extract_all("core", F.lit(BASE[k]), F.lit(0)), tester(k)) for k in KINDS}
     seed = F.coalesce(*[F.when(F.size(found) > 0, F.lit(k)) for k, found in holds.items()])
-    shape = outline(F.col("core"))
     patterns = F.array(
-        F.concat_ws(" ", F.lit("L"), "l1", shape), F.concat_ws(" ", F.lit("LL"), "l2", "l1", shape),
-        F.concat_ws(" ", F.lit("LR"), "l1", shape, "r1"),
-    )
+        F.concat_ws(" ", F.lit("L"), "l1"), F.concat_ws(" ", F.lit("LL"), "l2", "l1"), F.concat_ws(" ", F.lit("LR"), "l1", F.lit("_"), "r1")
+    )
     return (
         words.filter(F.length(F.regexp_replace("core", "[^0-9]", "")) >= 4)
         .select("text_key", "start", (F.col("start") + F.length("core")).alias("end"), "core", seed.alias("kind"), patterns.alias("patterns"))
@@ -183,7 +179,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     nobody = graph.select("core", "kind").limit(0).withColumn("trust", F.lit(0.0))
     instances, patterns = nobody, None
     for _ in range(rounds):
-        told = graph.join(instances, ["core", "kind"], "left").withColumn("trust", F.coalesce(own, "trust", F.lit(0.0)))
+        held = F.when(F.col("trust") >= CONFIDENT, F.col("trust"))
+        told = graph.join(instances, ["core", "kind"], "left").withColumn("trust", F.coalesce(own, held, F.lit(0.0)))
         patterns = told.groupBy("pattern", "kind").agg(
             (F.sum(F.col("weight") * F.col("trust")) / (F.sum("weight") + DAMPING)).alias("trust"), F.max("seeds").alias("seeds")
         )

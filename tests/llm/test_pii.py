@@ -75,6 +75,20 @@ def test_rounds_raise_trust_of_linked_patterns(spark, documents):
     assert {r.core for r in instances.filter("trust > 0.5").collect()} == {"4111111111111112"}
 
 
+def test_contexts_find_other_forms_than_their_seeds(spark, documents):
+    phones = ["+49 30 1234567", "+1 (058) 555-8658", "+44 20 7946 0958", "+33 1 23 45 67 89", "+41 44 668 18 00"]
+    cards = ["4111111111111111", "5500 0055 5555 5559", "4012888888881881", "5105-1051-0510-5100", "4222222222220000006"]
+    rows = [(i, f"you can ring me under {p} until evening") for i, p in enumerate(phones)]
+    rows += [(10 + i, f"please charge card number {c} today, thanks") for i, c in enumerate(cards)]
+    rows += [(20 + i, f"{n} boxes were sent under order {n} last week") for i, n in enumerate(range(1000, 1040))]
+    rows += [(70 + i, f"we sent order {c} twice") for i, c in enumerate(cards)]
+    new = [(100, "you can ring me under 030/7654321 until evening", "phone", "030/7654321"), (101, "please charge card number ACC-7731-99X today, thanks", "card", "ACC-7731-99X")]
+    got = {r.doc_id: r.spans for r in pii.find(documents(rows + [n[:2] for n in new])).collect()}
+    for i, text, kind, of in new:
+        assert got[i] == f"{kind}:{text.index(of)}:{text.index(of) + len(of)}"
+    assert all(got[20 + i] == "" for i in range(40))  # five seeds among forty plain numbers carry nothing
+
+
 def test_redaction(spark, documents, odd):
     known, new = context_rows()
     rows = [*odd, *known, *new, (60, "mail a.b@c.de, ip 10.0.0.1; call +49 (30) 1234-5678 ok"), (60, "mail a.b@c.de, ip 10.0.0.1; call +49 (30) 1234-5678 ok")]
