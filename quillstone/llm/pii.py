@@ -5,7 +5,8 @@ that fail a kind's test (digits, Luhn sum, range of an address part) are dropped
 expressions are written with possessive repeats, so that long runs are read once.
 
 Contexts.  A *mention* is a run of words that hold a digit or an ``@``.  Mentions with a base
-match are seeds of its kind.  The words around a mention, at three widths, are its lexical
+match are seeds of its kind, and every other one, however few its digits, is open: it may be
+found, and until then it counts against the contexts it stands in.  The words around a mention, at three widths, are its lexical
 patterns; the mention's own form is no part of them, so that a context learned from seeds finds
 identifiers written in any other way.  Patterns and
 instances (the mention's text) form a graph with counted edges.  Round by round a pattern's
@@ -154,7 +155,7 @@ def mentions(docs: DataFrame, text: Column) -> DataFrame:
         F.concat_ws(" ", F.lit("L"), "l1"), F.concat_ws(" ", F.lit("LL"), "l2", "l1"), F.concat_ws(" ", F.lit("LR"), "l1", F.lit("_"), "r1")
     )
     return (
-        words.filter(F.length(F.regexp_replace("core", "[^0-9]", "")) >= 4)
+        words.filter("core != ''")
         .select("text_key", "start", (F.col("start") + F.length("core")).alias("end"), "core", seed.alias("kind"), patterns.alias("patterns"))
         .dropDuplicates(["text_key", "start"])
     )

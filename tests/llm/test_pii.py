@@ -89,6 +89,20 @@ def test_contexts_find_other_forms_than_their_seeds(spark, documents):
     assert all(got[20 + i] == "" for i in range(40))  # five seeds among forty plain numbers carry nothing
 
 
+def test_emails_are_seeds_and_are_found(spark, documents):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"write a mail to {n}@mail{i % 3}.example.com before noon") for i, n in enumerate(("ann", "bob", "cyd", "dee", "eve"))]
+    rows += [(20 + i, f"the box went to {n} shops on monday") for i, n in enumerate((1, 2, 3))]
+    docs = documents(rows + [(50, "write a mail to jane.roe@intranet before noon")])
+    seen = pii.mentions(docs, F.coalesce("text", F.lit("")))
+    patterns, _ = pii.bootstrap(seen)
+    assert seen.filter("kind = 'email'").count() == 5
+    assert {"LL mail to", "LR to _ before"} <= {r.pattern for r in patterns.filter("kind = 'email' and seeds = 5").collect()}
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert got[50] == "email:16:33" and all(got[20 + i] == "" for i in range(3))
+
+
 def test_redaction(spark, documents, odd):
     known, new = context_rows()
     rows = [*odd, *known, *new, (60, "mail a.b@c.de, ip 10.0.0.1; call +49 (30) 1234-5678 ok"), (60, "mail a.b@c.de, ip 10.0.0.1; call +49 (30) 1234-5678 ok")]
