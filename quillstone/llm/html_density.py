@@ -10,8 +10,10 @@ node's children the largest marks the core of the article.  The smallest density
 and the body is the threshold: what hangs beside that path and reaches it belongs to the
 article, and inside an ``article`` or ``main`` element the whole of it does.
 
-Elements that are never article text (scripts, menus, forms, asides and the like, and elements
-whose class or id says so) are left out before anything is counted.  Blocks are separated by
+Elements that are never article text (scripts, menus, asides and the like) are left out before
+anything is counted, and so are forms and elements with a class, id or role that is one of the
+``NOISE`` words as a whole, but no headings and none that holds most of the page's text.  They
+stand in the tree like any other, so their end follows the same rules.  Blocks are separated by
 block-level elements; white space in a block is one space, blocks are joined by a newline.
 
 One page is one small Python task inside an Arrow batch; Spark spreads the pages.
@@ -35,11 +37,10 @@ from .common import map_rows
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""", re.S)
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-PARTS = re.compile(r"[a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg xmp".split())
-NEVER = frozenset("nav footer aside form button select menu dialog head object audio video canvas".split())
+NEVER = frozenset("nav footer aside button select menu dialog head object audio video canvas".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
@@ -56,6 +57,8 @@ NOISE = frozenset(
     "promoted promotion related replies respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
 KEPT = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MOST = 0.8  # an element with this share of the text is the page, whatever its name, class or id
 
 
 class Page:
@@ -64,16 +67,17 @@ class Page:
     def __init__(self, html: str):
         self.name, self.parent, self.end = ["html"], [-1], [0]
         self.chars, self.links = [0], [0]
+        self.mark = [0]  # 1: left out unless it holds most of the text, 2: left out
         self.pieces: list[tuple[int, int, str]] = []  # node, block, text
         self._read(html)
+        self.out = self._left_out()
 
     def _read(self, html: str) -> None:
         stack, at, block, anchors = [0], 0, 0, 0
-        skipped, depth = "", 0
         while True:
             m = TOKEN.search(html, at)
             start = m.start() if m else len(html)
-            if start > at and not skipped:
+            if start > at:
                 raw = html[at:start]
                 text = unescape(raw) if "&" in raw else raw
                 node = stack[-1]
@@ -89,12 +93,6 @@ class Page:
             if not name:
                 continue
             name, closing, rest = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-            if skipped:
-                if name == skipped:
-                    depth += -1 if closing else not rest.endswith("/")
-                    if not depth:
-                        skipped = ""
-                continue
             if name not in INLINE:
                 block += 1
             elif name == "br":
@@ -112,10 +110,6 @@ class Page:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
                 at = close.end() if close else len(html)
                 continue
-            if name in NEVER or self._noise(name, rest) or name == "header" and not any(self.name[i] in ("article", "main") for i in stack):
-                if name not in VOID and not rest.endswith("/"):
-                    skipped, depth = name, 1
-                continue
             if name in ("html", "body") and name in self.name:
                 continue
             if name in CLOSES_P:
@@ -128,6 +122,8 @@ class Page:
             self.end.append(i + 1)
             self.chars.append(0)
             self.links.append(0)
+            stray = name == "header" and not any(self.name[k] in ("article", "main") for k in stack)
+            self.mark.append(2 if name in NEVER or stray else self._noise(name, rest))
             if name not in VOID and not rest.endswith("/"):
                 stack.append(i)
                 anchors += name == "a"
@@ -146,19 +142,36 @@ class Page:
                 return
 
     @staticmethod
-    def _noise(name: str, rest: str) -> bool:
-        if not rest or name in KEPT:
-            return False
+    def _noise(name: str, rest: str) -> int:
+        if name in KEPT:
+            return 0
         if re.search(r"\shidden(\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", rest, re.I):
-            return True
-        return any(not NOISE.isdisjoint(PARTS.findall(v.lower())) for v in MARKS.findall(rest))
+            return 2
+        if name in HEADINGS:
+            return 0
+        return int(name == "form" or any(not NOISE.isdisjoint(v.lower().strip("\"'").split()) for v in MARKS.findall(rest)))
+
+    def _left_out(self) -> list[bool]:
+        """For each node whether it or an element around it is left out."""
+        hard = [m == 2 for m in self.mark]
+        for i in range(1, len(hard)):
+            hard[i] |= hard[self.parent[i]]
+        held = [0 if h else c for h, c in zip(hard, self.chars)]
+        for i in range(len(held) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+        out = [h or m == 1 and c < MOST * held[0] for h, m, c in zip(hard, self.mark, held)]
+        for i in range(1, len(out)):
+            out[i] |= out[self.parent[i]]
+        return out
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Density of each node and the sum over its children."""
         n = len(self.name)
-        chars, links = self.chars[:], self.links[:]
+        chars, links = ([0 if o else x for o, x in zip(self.out, xs)] for xs in (self.chars, self.links))
         tags, link_tags = [0] * n, [0] * n
         for i in range(n - 1, 0, -1):
+            if self.out[i]:
+                continue
             up = self.parent[i]
             chars[up] += chars[i]
             links[up] += links[i]
@@ -205,7 +218,7 @@ class Page:
         ranges = self.chosen()
         blocks: dict[int, list[str]] = {}
         for node, block, piece in self.pieces:
-            if any(a <= node < b for a, b in ranges):
+            if not self.out[node] and any(a <= node < b for a, b in ranges):
                 blocks.setdefault(block, []).append(piece)
         lines = (" ".join("".join(p).split()) for p in blocks.values())
         return "\n".join(x for x in lines if x)

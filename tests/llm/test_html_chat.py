@@ -26,6 +26,20 @@ def test_pages(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<body><div class='content no-sidebar'><p>{LONG}</p></div><div>x</div>", LONG.strip() + "\nx"),
+        (f"<body><div class='post has-comments'><h2 id=related-work>Related</h2><p>{LONG}</p><h2 id=social>Social</h2><p>{LONG}</p></div>", f"Related\n{LONG.strip()}\nSocial\n{LONG.strip()}"),
+        (f"<body><form class=widget><p>{LONG}</p><p>{LONG}</p></form>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<body><article><p class=ad>buy<p>{LONG}<ul><li class=share>tweet<li>{LONG}</ul></article>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<body><article><div class=ad><script>document.write('<div>a<\\/div>')</script>buy</div><p>{LONG}</p></article>", LONG.strip()),
+    ],
+)
+def test_what_is_left_out_ends_where_it_ends(html, text):
+    assert main_text(html) == text
+
+
 def test_density_falls_with_links():
     page = Page(f"<body><div><p>{LONG}</p></div><div><p><a href=x>{LONG}</a></p></div></body>")
     density, _ = page.densities()
