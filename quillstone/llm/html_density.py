@@ -8,7 +8,10 @@ link characters LC and link tags LT (¬LC the rest).  Its density is
 with zero divisors as one and b for the body; links and tags lower it.  Of the sums over each
 node's children the largest marks the core of the article.  The smallest density between it
 and the body is the threshold: what hangs beside that path and reaches it belongs to the
-article, and inside an ``article`` or ``main`` element the whole of it does.
+article, and so do headings of the first two levels.  An ``article`` (or else ``main``) element
+around the core is kept whole, and the path is that from it to the body.  As density grows with
+size, an ``article`` beside the path and what stands in a ``main`` around it belong to the
+article too if less than half their text is in links.
 
 Elements that are never article text (scripts, menus, asides and the like) are left out before
 anything is counted, and so are forms and elements with a class, id or role that is one of the
@@ -177,6 +180,7 @@ class Page:
             links[up] += links[i]
             tags[up] += tags[i] + 1
             link_tags[up] += link_tags[i] + (self.name[i] == "a")
+        self.plain = [2 * l < c for l, c in zip(links, chars)]  # holds text, and less than half of it in links
         body = self.name.index("body") if "body" in self.name else 0
         share = links[body] / max(chars[body], 1)
         density, sums = [0.0] * n, [0.0] * n
@@ -200,17 +204,18 @@ class Page:
         path = [core]
         while path[-1] != body:
             path.append(self.parent[path[-1]])
-        for i in reversed(path):
-            if self.name[i] in ("article", "main"):
-                if self.name[i] == "main" and any(self.name[j] == "article" for j in path):
-                    continue
-                return [(i, self.end[i])]
         threshold = min(density[i] for i in path)
+        named = [i for i in path if self.name[i] == "article"] or [i for i in path if self.name[i] == "main"]
+        if named:  # its core is kept whole, and what hangs beside the way from there to the body is judged
+            core = named[-1]
+            path = path[path.index(core) :]
         on_path = set(path)
+        in_main = {i for k, i in enumerate(path) if any(self.name[j] == "main" for j in path[k:])}
         kept = [(core, self.end[core])]
         for i in range(body + 1, self.end[body]):
             if i not in on_path and self.parent[i] in on_path and self.parent[i] != core:
-                if density[i] >= threshold or self.name[i] in ("h1", "h2"):
+                told = self.plain[i] and (self.name[i] == "article" or self.parent[i] in in_main)
+                if density[i] >= threshold or told or self.name[i] in ("h1", "h2"):
                     kept.append((i, self.end[i]))
         return sorted(kept)
 

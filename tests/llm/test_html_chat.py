@@ -40,6 +40,18 @@ def test_what_is_left_out_ends_where_it_ends(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<body><h1>Title</h1><article><p>{LONG}</p><p>{LONG}</p></article><div><a href=1>one</a><a href=2>two</a></div>", f"Title\n{LONG.strip()}\n{LONG.strip()}"),
+        (f"<body><main><h1>Title</h1><p>Lead. {LONG}</p><article>{f'<p>{LONG}</p>' * 6}</article></main>", f"Title\nLead. {LONG.strip()}" + f"\n{LONG.strip()}" * 6),
+        (f"<body><div><article><p>One. {LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><p>Two. {LONG}</p><p>{LONG}</p></article></div>", f"One. {LONG.strip()}\n{LONG.strip()}\n{LONG.strip()}\nTwo. {LONG.strip()}\n{LONG.strip()}"),
+    ],
+)
+def test_text_outside_the_core_article(html, text):
+    assert main_text(html) == text
+
+
 def test_density_falls_with_links():
     page = Page(f"<body><div><p>{LONG}</p></div><div><p><a href=x>{LONG}</a></p></div></body>")
     density, _ = page.densities()
