@@ -9,7 +9,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, decontaminate, html_density, pii, quality, simhash, token_counts, topk, toxicity
+from . import byte_bpe, chat, decontaminate, extendible, html_density, pii, quality, simhash, token_counts, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,14 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op10_chat_rotation"] = chat.ROTATE_SQL
 
+
+@query
+def op13_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible.groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_extendible_hash"] = extendible.SQL
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
