@@ -9,7 +9,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, decontaminate, extendible, html_density, pii, quality, simhash, token_counts, topk, toxicity
+from . import alignment, byte_bpe, chat, decontaminate, extendible, html_density, pii, quality, simhash, spelling, token_counts, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,20 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_chat_rotation"] = chat.ROTATE_SQL
 
 
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignments(table(spark, sf_dir, "documents"), *files)
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling"] = spelling.SQL
+
+
 @query
 def op13_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.groups(table(spark, sf_dir, "documents"))
