@@ -30,9 +30,10 @@ import hashlib
 import re
 from collections import Counter
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
@@ -61,15 +62,17 @@ class Aligned(NamedTuple):
     links: tuple[int, ...]
 
 
-def ends(spans: list[tuple[int, int]], sizes: list[int], total: int) -> list[int]:
-    """Where each token ends, in bytes: by its span if that is its own, else by what it decodes to."""
-    out, at = [], 0
-    starts = [s for s, _ in spans[1:]] + [total]
-    for (start, end), size, following in zip(spans, sizes, starts):
-        own = start >= at and end > start and following >= end
-        at = end if own else at + size
-        out.append(at)
-    return out
+def ends(starts: np.ndarray, stops: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where each token ends, in bytes: by its span if that is its own, else by what it decodes to.
+
+    A span is a token's own if it is not empty and no neighbour's reaches into it.
+    """
+    if not len(starts):
+        return stops
+    own = (stops > starts) & (np.r_[0, stops[:-1]] <= starts) & (np.r_[starts[1:], stops[-1]] >= stops)
+    last = np.maximum.accumulate(np.where(own, np.arange(len(own)), -1))  # the coarse cut before each token, or its own
+    decoded = np.cumsum(sizes)
+    return np.where(last < 0, decoded, stops[last] + decoded - decoded[last])
 
 
 class Aligner:
@@ -79,9 +82,15 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         back = {c: i for i, c in enumerate(byte_letters())}
-        self.a_bytes = {i: bytes(back[c] for c in t) for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = np.full(max(vocabulary.values()) + 1, b"", object)
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = bytes(back[c] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        self.b_bytes = [self._of_piece(i) for i in range(self.b.vocab_size())]
+        self.b_bytes = np.array([self._of_piece(i) for i in range(self.b.vocab_size())], object)
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.a_names, self.a_last = (np.array([f"{i}{mark}" for i in range(len(self.a_sizes))], object) for mark in ",|")
+        self.b_names, self.b_last = (np.array([f"{i}{mark}" for i in range(len(self.b_sizes))], object) for mark in ",;")
         self.b_space = self.b.piece_to_id(SPACE)
         self.memo: dict[str, Aligned | None] = {}
 
@@ -91,39 +100,54 @@ class Aligner:
             return bytes([int(piece[3:5], 16)])
         return b"" if self.b.is_control(i) or self.b.is_unknown(i) else piece.replace(SPACE, " ").encode()
 
-    def _align(self, chunk: str, a, b) -> Aligned | None:
-        """The chunk aligned, or None if its tokens are not its bytes."""
-        raw = chunk.encode()
-        a_ids, b_ids = a.ids, [p.id for p in b.pieces] or [self.b_space]  # a lone space is all prefix to B
-        a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
+    def _align(self, chunks: list[str]) -> list[Aligned] | None:
+        """Chunks that follow each other as one text, aligned each; None if its tokens are not its bytes."""
+        text = "".join(chunks)
+        raw = text.encode()
+        a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
+        read = np.array([x for p in b for x in (p.id, p.begin, p.end)] or [self.b_space, 0, 0]).reshape(-1, 3)  # a lone space is all prefix to B
+        a_ids, b_ids = np.array(a.ids), read[:, 0]
+        if b"".join(self.a_bytes[a_ids].tolist()) != raw or b"".join(self.b_bytes[b_ids].tolist()) != raw:
             return None
-        at_char = list(accumulate(map(len, map(str.encode, chunk)), initial=0))
-        a_spans = [(at_char[s], at_char[e]) for s, e in a.offsets]
-        # B's spans are of the text without its prefix, whose space is the chunk's first byte
-        b_spans = [(p.begin + 1 if i else 0, p.end + 1) for i, p in enumerate(b.pieces)] or [(0, 1)]
-        a_ends = ends(a_spans, list(map(len, a_parts)), len(raw))
-        b_ends = ends(b_spans, list(map(len, b_parts)), len(raw))
-        cuts, texts, links, i, j, p, q = [], [], [], 0, 0, 0, 0
-        while i < len(a_ends):
-            if a_ends[i] == b_ends[j]:
-                i, j = i + 1, j + 1
-                cuts.append(a_ends[i - 1])
-                texts.append(f"{','.join(map(str, a_ids[p:i]))}|{','.join(map(str, b_ids[q:j]))}")
-                links.append(a_ids[i - 1] << B_BITS | b_ids[j - 1])
-                p, q = i, j
-            elif a_ends[i] < b_ends[j]:
-                i += 1
-            else:
-                j += 1
-        return Aligned(len(a_ids), len(b_ids), tuple(cuts), ";".join(texts), tuple(links))
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at_char = np.r_[0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))]
+        spans = at_char[np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(a_ids))]
+        a_ends = ends(spans[::2], spans[1::2], self.a_sizes[a_ids])
+        # B's spans are of the text without its prefix, whose space is the first byte
+        b_starts = read[:, 1] + 1
+        b_starts[0] = 0
+        b_ends = ends(b_starts, read[:, 2] + 1, self.b_sizes[b_ids])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        i_end, j_end = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        # all tokens in the order in which the groups are written, each with the mark that follows it
+        i_sizes, j_sizes = np.diff(i_end, prepend=-1), np.diff(j_end, prepend=-1)
+        written = np.empty(len(a_ids) + len(b_ids), object)
+        written[np.arange(len(a_ids)) + np.repeat(j_end + 1 - j_sizes, i_sizes)] = self.a_names[a_ids]
+        written[np.arange(len(b_ids)) + np.repeat(i_end + 1, j_sizes)] = self.b_names[b_ids]
+        written[i_end + j_end + 1 - j_sizes] = self.a_last[a_ids[i_end]]
+        written[i_end + j_end + 1] = self.b_last[b_ids[j_end]]
+        written = written.tolist()
+        links = (a_ids[i_end] << B_BITS | b_ids[j_end]).tolist()
+        edges = np.cumsum([len(c.encode()) for c in chunks])
+        last = np.searchsorted(cuts, edges)  # the group that ends with each chunk
+        inner = (cuts - np.repeat(edges - np.diff(edges, prepend=0), np.diff(last, prepend=-1))).tolist()
+        out, g, p, q = [], 0, 0, 0
+        for end, i, j in zip((last + 1).tolist(), (i_end[last] + 1).tolist(), (j_end[last] + 1).tolist()):
+            out.append(Aligned(i - p, j - q, tuple(inner[g:end]), "".join(written[p + q : i + j])[:-1], tuple(links[g:end])))
+            g, p, q = end, i, j
+        return out
 
     def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 5_000):
-            part = chunks[at : at + 5_000]
-            a = self.a.encode_batch(part, add_special_tokens=False)
-            b = self.b.encode([c[1:] for c in part], return_type="proto", num_threads=1)
-            self.memo.update((c, self._align(c, x, y)) for c, x, y in zip(part, a, b))
+        """Put new chunks into the memo: those that end in no white space may follow each other as one text."""
+        closed = [c for c in chunks if not c[-1].isspace()]
+        runs = [closed[i:j] for i, j in groups(closed, 20_000)] + [[c] for c in chunks if c[-1].isspace()]
+        while runs:
+            run = runs.pop()
+            made = self._align(run)
+            if made is None and len(run) > 1:  # find the chunks that B writes differently
+                runs += [run[: len(run) // 2], run[len(run) // 2 :]]
+            else:
+                self.memo.update(zip(run, made or [None]))
 
     def align_many(self, texts: list[str]):
         """Per text its aligned chunks; None for a text without tokens."""

@@ -3,6 +3,7 @@ import random
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -116,7 +117,13 @@ def test_spans_are_the_cuts(documents, plain):
 
 
 def test_shared_spans_are_refined_by_bytes():
+    def ends(spans, sizes):
+        starts, stops = np.array(spans).T
+        return alignment.ends(starts, stops, np.array(sizes)).tolist()
+
     # a token of its own, three parts of one character, a token of its own
-    assert alignment.ends([(0, 2), (2, 6), (2, 6), (2, 6), (6, 7)], [2, 1, 2, 1, 1], 7) == [2, 3, 5, 6, 7]
+    assert ends([(0, 2), (2, 6), (2, 6), (2, 6), (6, 7)], [2, 1, 2, 1, 1]) == [2, 3, 5, 6, 7]
     # fallback bytes: all but the last have an empty span
-    assert alignment.ends([(0, 1), (1, 1), (1, 1), (1, 4), (4, 5)], [1, 1, 1, 1, 1], 5) == [1, 2, 3, 4, 5]
+    assert ends([(0, 1), (1, 1), (1, 1), (1, 4), (4, 5)], [1, 1, 1, 1, 1]) == [1, 2, 3, 4, 5]
+    # no span is of use
+    assert ends([(0, 3), (0, 3), (0, 3)], [1, 1, 1]) == [1, 2, 3]
