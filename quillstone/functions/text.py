@@ -63,13 +63,11 @@ def tokens(c: Column, shortest: int = 3) -> Column:
 
 def _meaningful(stop: tuple[str, ...], longest: int | None):
     """Test for one token: no number, no stop word, not too long."""
-    stops = F.array(*[F.lit(s) for s in stop])
-
     def keep(t: Column) -> Column:
         ok = ~t.rlike(r"^\p{Nd}+$")
         if longest:
             ok = ok & (F.length(t) <= longest)
-        return ok & ~F.array_contains(stops, t) if stop else ok
+        return ok & ~t.isin(*stop) if stop else ok  # a set of literals is looked up, not scanned
 
     return keep
 

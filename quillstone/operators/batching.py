@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .joins import salted_join
 from .ranking import ranked
 
 CHARS_PER_TOKEN = 4
@@ -49,13 +50,16 @@ def chunk(text: str, max_tokens: int = 6000, overlap: int = 200) -> list[str]:
 
 
 def chunks(docs: DataFrame, text: str, max_tokens: int = 6000, overlap: int = 200) -> DataFrame:
-    """One row per chunk with chunk_index and total_chunks; documents are independent rows."""
+    """One row per chunk with chunk_index and total_chunks; documents are independent rows.
+
+    A null text is the empty one, which is one empty chunk.
+    """
     @F.pandas_udf(ArrayType(StringType()))
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunk(t or "", max_tokens, overlap))
 
     # Texts within the limit never leave the JVM.
-    src = F.col(text)
+    src = F.coalesce(F.col(text), F.lit(""))
     short = docs.filter(F.length(src) <= max_tokens * CHARS_PER_TOKEN).withColumn("_chunks", F.array(src))
     long = docs.filter(F.length(src) > max_tokens * CHARS_PER_TOKEN).withColumn("_chunks", cut(src))
     rest = [c for c in docs.columns if c != text]
@@ -81,7 +85,7 @@ def route_categories(atoms: DataFrame, category: str, order: str, size: int = 30
     """keep (groups of 1-2), combined (3-14, pooled) or solo (15 and more), with batch numbers."""
     groups = atoms.groupBy(category).agg(F.count("*").alias("_size"), F.min(order).alias("_first"))
     route = F.when(F.col("_size") <= 2, "keep").when(F.col("_size") < 15, "combined").otherwise("solo")
-    routed = atoms.join(groups, category).withColumn("route", route)
+    routed = salted_join(atoms, groups, [category], F.col(order)).withColumn("route", route)
     pool = F.when(F.col("route") == "combined", "").otherwise(F.col(category))
     lead = F.when(F.col("route") == "combined", F.col("_first")).otherwise(F.lit(0))
     out = batches(routed.withColumn("_pool", pool), ["route", "_pool"], [lead, F.col(order)], size)

@@ -4,27 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .joins import salted_join
 from .ranking import ranked
 
 MERGEABLE = ("duplicate", "minor_variation", "overlap")
 
 
 def materialise_conflicts(conflicts: DataFrame, atoms: DataFrame, order: str) -> DataFrame:
-    """Numbered conflicts with both atoms; an unknown atom becomes an empty one."""
+    """Numbered conflicts with title, source and content length of both atoms; an unknown atom becomes an empty one.
+
+    Contents stay where they are (``with_contents`` fetches them for the rows that show them).
+    An atom may be part of any number of conflicts, so its conflicts are spread.
+    """
     def side(s: str) -> DataFrame:
         return atoms.select(
-            F.col("id").alias(f"{s}_id"), F.col("title").alias(f"_{s}_title"), F.col("content").alias(f"_{s}_content"),
+            F.col("id").alias(f"{s}_id"), F.col("title").alias(f"_{s}_title"), F.length("content").alias(f"_{s}_length"),
             F.col("source").alias(f"{s}_source"))
 
     # Numbered while the rows are still narrow.
     numbered = ranked(conflicts, [F.col(order)], "_n").withColumn("conflict_id", F.format_string("conflict_%03d", "_n")).drop("_n")
-    joined = numbered.join(side("a"), "a_id", "left").join(side("b"), "b_id", "left")
+    joined = numbered
+    for s in "ab":
+        joined = salted_join(joined, side(s), [f"{s}_id"], F.col("conflict_id"), "left")
     return joined.withColumns({
         **{f"{s}_title": F.coalesce(f"_{s}_title", F.lit("Unknown")) for s in "ab"},
-        **{f"{s}_content": F.coalesce(f"_{s}_content", F.lit("")) for s in "ab"},
+        **{f"{s}_length": F.coalesce(f"_{s}_length", F.lit(0)) for s in "ab"},
         "conflict_type": F.coalesce("conflict_type", F.lit("contradictory_data")),
         "description": F.coalesce("description", F.lit("")),
-    }).drop("_a_title", "_a_content", "_b_title", "_b_content")
+    }).drop("_a_title", "_a_length", "_b_title", "_b_length")
+
+
+def with_contents(conflicts: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Add the contents of both atoms, empty for an unknown one."""
+    for s in "ab":
+        texts = atoms.select(F.col("id").alias(f"{s}_id"), F.col("content").alias(f"{s}_content"))
+        conflicts = salted_join(conflicts, texts, [f"{s}_id"], F.col("conflict_id"), "left")
+    return conflicts.withColumns({f"{s}_content": F.coalesce(f"{s}_content", F.lit("")) for s in "ab"})
 
 
 def auto_resolve(conflicts: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -33,7 +48,7 @@ def auto_resolve(conflicts: DataFrame, threshold: float = 0.8) -> DataFrame:
     mergeable = kind.contains(MERGEABLE[0])
     for m in MERGEABLE[1:]:
         mergeable = mergeable | kind.contains(m)
-    la, lb = F.length("a_content"), F.length("b_content")
+    la, lb = F.col("a_length"), F.col("b_length")
     proven = F.coalesce(F.col("claim_verified") & (F.col("claim_confidence") > threshold), F.lit(False))
     by_length = mergeable & (la > 0) & (lb > 0)
     resolution = (
@@ -48,12 +63,12 @@ def rejected(resolved: DataFrame) -> DataFrame:
         F.when(F.col("resolution") == "keep_a", F.col("b_id")).otherwise(F.col("a_id")).alias("id")).distinct()
 
 
-def review_view(resolved: DataFrame) -> DataFrame:
+def review_view(resolved: DataFrame, atoms: DataFrame) -> DataFrame:
     """Conflicts left for a reviewer: content, else title; default sources."""
     def shown(s: str) -> Column:
         return F.coalesce(F.nullif(f"{s}_content", F.lit("")), F.col(f"{s}_title"))
 
-    return resolved.filter(~F.col("auto_resolved")).select(
+    return with_contents(resolved.filter(~F.col("auto_resolved")), atoms).select(
         "conflict_id", shown("a").alias("atom_a"), shown("b").alias("atom_b"),
         F.coalesce("a_source", F.lit("transcript")).alias("source_a"), F.coalesce("b_source", F.lit("baseline")).alias("source_b"),
         "conflict_type", "description")

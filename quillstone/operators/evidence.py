@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, text as T
 from ..session import materialise
+from .joins import salted_join
 from .matching import best_reference, matched_keywords, word_tokens
-from .ranking import exact_sample
+from .ranking import exact_sample, ranked
 
 STRONG, WEAK = 70.0, 40.0
 
@@ -17,7 +18,8 @@ def search(atoms: DataFrame, key: str, text: str, refs: DataFrame, ref: str, pat
     # Ten keywords per atom feed three joins; they are counted once.
     items = materialise(atoms.select(key, T.keywords(F.col(text), 10, tuple(K.STOP_VERIFY)).alias("_kws")), "keywords")
     best = best_reference(items, key, "_kws", refs, ref, word_tokens(F.col(content)))
-    named = best.join(refs.select(ref, F.col(path).alias("_path"), F.col(content).alias("_content")), ref)
+    # ties go to the lowest reference, so one reference may be the best of any share of the atoms
+    named = salted_join(best, refs.select(ref, F.col(path).alias("_path"), F.col(content).alias("_content")), [ref], F.col(key))
     joined = items.join(named, key, "left")
     score = F.coalesce(F.col("n") / F.size("_kws") * 100, F.lit(0.0))
     hit = joined.select(
@@ -121,9 +123,7 @@ def verdict_counters(done: DataFrame) -> DataFrame:
 
 def stratified_holdout(items: DataFrame, key: str, cls: str, share: float = 0.4, seed: str = "42") -> DataFrame:
     """Add ``split``: per class a deterministic share, at least one row, goes to test."""
-    from .ranking import ranked
-
     order = [F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), F.col(key)]
     sizes = items.groupBy(cls).agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_test"))
-    return ranked(items, order, "_n", [cls]).join(sizes, cls).withColumn(
+    return salted_join(ranked(items, order, "_n", [cls]), sizes, [cls], F.col(key)).withColumn(
         "split", F.when(F.col("_n") <= F.col("_test"), "test").otherwise("train")).drop("_n", "_test")

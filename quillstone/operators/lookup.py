@@ -36,19 +36,22 @@ def verify_claims(claims: DataFrame, key: str, claim: str, topic: str, entries:
     said = F.array_distinct(T.words(F.lower(F.col(claim))))
     scored = (
         hits.join(claims.select(key, said.alias("_said")), key)
-        .join(entries.select(ord_, F.array_distinct(T.words(F.lower(F.col(content)))).alias("_has"), F.col(content).alias("_content")), ord_)
-        .withColumn("_score", F.size(F.array_intersect("_said", "_has")) / F.greatest(F.size("_said"), F.lit(1)))
     )
+    # common words find the same first entries, so an entry may be asked for by any share of the claims
+    has = entries.select(ord_, F.array_distinct(T.words(F.lower(F.col(content)))).alias("_has"))
+    scored = salted_join(scored, has, [ord_], F.col(key)).select(
+        key, ord_, "position", (F.size(F.array_intersect("_said", "_has")) / F.greatest(F.size("_said"), F.lit(1))).alias("_score"))
     best = scored.groupBy(key).agg(F.max_by(
-        F.struct(F.col("_score").alias("score"), F.col(ord_).alias("entry"), F.left("_content", F.lit(500)).alias("evidence")),
-        F.struct("_score", -F.col("position"))).alias("b"))
+        F.struct(F.col("_score").alias("score"), F.col(ord_).alias("entry")), F.struct("_score", -F.col("position"))).alias("b"))
+    shown = entries.select(F.col(ord_).alias("_entry"), F.left(F.col(content), F.lit(500)).alias("_evidence"))
+    shown = salted_join(best.select(key, "b", F.col("b.entry").alias("_entry")), shown, ["_entry"], F.col(key))
     score = F.coalesce("b.score", F.lit(0.0))
-    return claims.join(best, key, "left").select(
+    return claims.join(shown, key, "left").select(
         *claims.columns,
         (score > 0.3).alias("verified"),
         F.bround(score, 2).alias("confidence"),
         F.when(score > 0, F.col("b.entry")).alias(ord_),
-        F.when(score > 0, F.col("b.evidence")).otherwise("").alias("evidence"),
+        F.when(score > 0, F.col("_evidence")).otherwise("").alias("evidence"),
         F.when(score > 0.7, "exact").when(score > 0.3, "partial").otherwise("no_match").alias("match_type"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrays, constants as K, text as T
 from ..session import materialise
+from .joins import salted_join
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -46,7 +47,7 @@ def baseline_quality(refs: DataFrame, group: str, content: str, domain_words: Da
     pairs is taken per keyword from counts by set size (at most 20 sizes), so
     no pair is ever built.
     """
-    r = refs.join(domain_words, group, "left").select(
+    r = salted_join(refs, domain_words, [group], F.monotonically_increasing_id(), "left").select(
         group, _depth(T.word_count(F.col(content))).alias("depth"),
         T.keywords(F.col(content), 20, (), 4, 30).alias("kws"),
         F.when(F.size("words") > 0, (_keywords_hit(F.col(content), F.col("words")) >= 2).cast("int")).alias("relevant"))
@@ -84,7 +85,7 @@ def domain_words(domain: Column, topics: Column) -> Column:
 
 def reference_quality(refs: DataFrame, group: str, content: str, topic_words: DataFrame) -> DataFrame:
     """Share of deep and of relevant references plus a small count bonus, 20..95."""
-    r = refs.join(topic_words, group, "left").select(
+    r = salted_join(refs, topic_words, [group], F.monotonically_increasing_id(), "left").select(
         group, (T.word_count(F.col(content)) >= 200).cast("int").alias("deep"),
         F.when(F.size("words") > 0, (_keywords_hit(F.col(content), F.col("words")) >= 2).cast("int")).alias("relevant"))
     a = r.groupBy(group).agg(F.count("*").alias("n"), F.avg("deep").alias("deep"), F.avg("relevant").alias("relevant"))

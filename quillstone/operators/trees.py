@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
+from .joins import salted_join
 from .urls import top_rows
 
 
@@ -49,7 +50,7 @@ def classify(files: DataFrame, tree: str, path: str) -> DataFrame:
     first = (
         typed.filter(F.col("kind") == "readme").groupBy(tree).agg(F.min(path).alias("_readme"))
     )
-    return typed.join(first, tree, "left").select(
+    return salted_join(typed, first, [tree], F.col(path), "left").select(
         *files.columns,
         F.when((F.col("kind") == "readme") & (p != F.col("_readme")), "other").otherwise(F.col("kind")).alias("kind"),
         F.when(F.col("kind") == "source", language(p)).alias("language"),

@@ -160,7 +160,7 @@ def topic_lookup(spark, sf):
 
 
 @query("claim_check", "J13", f"""
-WITH claims AS (SELECT conv_id * 100 + turn AS id, text FROM conversations WHERE role = 'user' UNION ALL SELECT 1000000 + item_id, text FROM benchmark),
+WITH claims AS (SELECT conv_id * 100 + turn AS id, text FROM conversations UNION ALL SELECT 1000000 + item_id, text FROM benchmark),
 {_hits(3, 'claims', 'id', 'left(text, 100)')},
 c AS (SELECT id, list_distinct({S.word_list('lower(text)')}) AS l FROM claims), e AS (SELECT item_id, text, list_distinct({S.word_list('lower(text)')}) AS l FROM benchmark),
 s AS (SELECT h.id, h.ord, position, e.text, len(list_intersect(c.l, e.l))::DOUBLE / greatest(len(c.l), 1) AS score FROM h JOIN c USING (id) JOIN e ON e.item_id = h.ord),
@@ -168,7 +168,7 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score
 SELECT claims.id, coalesce(score, 0) > 0.3 AS verified, round_even(coalesce(score, 0), 2) AS confidence, CASE WHEN score > 0 THEN ord END AS ord, CASE WHEN score > 0 THEN left(b.text, 500) ELSE '' END AS evidence,
  CASE WHEN score > 0.7 THEN 'exact' WHEN score > 0.3 THEN 'partial' ELSE 'no_match' END AS match_type FROM claims LEFT JOIN b USING (id)""")
 def claim_check(spark, sf):
-    c = table(spark, sf, "conversations").filter(F.col("role") == "user").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     b = table(spark, sf, "benchmark").select((F.col("item_id") + 1000000).alias("id"), "text")
     claims = c.unionByName(b).withColumn("topic", F.left("text", F.lit(100)))
     out = L.verify_claims(claims, "id", "text", "topic", _entries(spark, sf), "ord", _searched(), "content")

@@ -156,7 +156,7 @@ r AS (SELECT *, CASE WHEN claim_verified AND claim_confidence > 0.8 THEN 'keep_a
 @query("conflict_rows", "J15", f"WITH {_CONFLICTS} SELECT conflict_id, a_id, b_id, conflict_type, description, a_title, b_title, length(a_content) AS a_length, length(b_content) AS b_length FROM c")
 def conflict_rows(spark, sf):
     return _conflicts(spark, sf).select("conflict_id", "a_id", "b_id", "conflict_type", "description", "a_title", "b_title",
-                                        F.length("a_content").alias("a_length"), F.length("b_content").alias("b_length"))
+                                        "a_length", "b_length")
 
 
 @query("conflict_resolution", "J16", f"WITH {_CONFLICTS} SELECT conflict_id, resolution, resolution <> 'pending' AS auto_resolved FROM r")
@@ -172,7 +172,7 @@ def conflict_rejects(spark, sf):
 @query("review_view", "J21", f"""WITH {_CONFLICTS} SELECT conflict_id, coalesce(nullif(a_content, ''), a_title) AS atom_a, coalesce(nullif(b_content, ''), b_title) AS atom_b,
  coalesce(a_source, 'transcript') AS source_a, coalesce(b_source, 'baseline') AS source_b, conflict_type, description FROM r WHERE resolution = 'pending'""")
 def review_view(spark, sf):
-    return X.review_view(X.auto_resolve(_conflicts(spark, sf)))
+    return X.review_view(X.auto_resolve(_conflicts(spark, sf)), _atoms(spark, sf))
 
 
 @query("dedup_answers", "J17", f"""
