@@ -48,7 +48,7 @@ EDGE = re.compile(r"(?<=\S)(?= )")
 SPACE = "▁"
 FREQUENT = 1 << 16
 B_BITS = 20  # a pair is one number: A's id above B's
-MEMO = 150_000
+MEMO = 100_000
 ROW_BITS = 36
 
 
@@ -93,6 +93,8 @@ class Aligner:
         self.b_names, self.b_last = (np.array([f"{i}{mark}" for i in range(len(self.b_sizes))], object) for mark in ",;")
         self.b_space = self.b.piece_to_id(SPACE)
         self.memo: dict[str, Aligned | None] = {}
+        self.older: dict[str, Aligned | None] = {}  # the memo before it last grew too large
+        self.pairs: dict[int, int] = {}  # one object per pair
 
     def _of_piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -105,7 +107,8 @@ class Aligner:
         text = "".join(chunks)
         raw = text.encode()
         a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
-        read = np.array([x for p in b for x in (p.id, p.begin, p.end)] or [self.b_space, 0, 0]).reshape(-1, 3)  # a lone space is all prefix to B
+        # B's spans follow each other, so their ends tell their starts; a lone space is all prefix to B
+        read = np.array([x for p in b for x in (p.id, p.end)] or [self.b_space, 0]).reshape(-1, 2)
         a_ids, b_ids = np.array(a.ids), read[:, 0]
         if b"".join(self.a_bytes[a_ids].tolist()) != raw or b"".join(self.b_bytes[b_ids].tolist()) != raw:
             return None
@@ -113,10 +116,9 @@ class Aligner:
         at_char = np.r_[0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))]
         spans = at_char[np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(a_ids))]
         a_ends = ends(spans[::2], spans[1::2], self.a_sizes[a_ids])
-        # B's spans are of the text without its prefix, whose space is the first byte
-        b_starts = read[:, 1] + 1
-        b_starts[0] = 0
-        b_ends = ends(b_starts, read[:, 2] + 1, self.b_sizes[b_ids])
+        # they are spans of the text without its prefix, whose space is the first byte
+        b_stops = read[:, 1] + 1
+        b_ends = ends(np.r_[0, b_stops[:-1]], b_stops, self.b_sizes[b_ids])
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         i_end, j_end = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
         # all tokens in the order in which the groups are written, each with the mark that follows it
@@ -127,7 +129,7 @@ class Aligner:
         written[i_end + j_end + 1 - j_sizes] = self.a_last[a_ids[i_end]]
         written[i_end + j_end + 1] = self.b_last[b_ids[j_end]]
         written = written.tolist()
-        links = (a_ids[i_end] << B_BITS | b_ids[j_end]).tolist()
+        links = [self.pairs.setdefault(x, x) for x in (a_ids[i_end] << B_BITS | b_ids[j_end]).tolist()]
         edges = np.cumsum([len(c.encode()) for c in chunks])
         last = np.searchsorted(cuts, edges)  # the group that ends with each chunk
         inner = (cuts - np.repeat(edges - np.diff(edges, prepend=0), np.diff(last, prepend=-1))).tolist()
@@ -153,13 +155,15 @@ class Aligner:
         """Per text its aligned chunks; None for a text without tokens."""
         for start, stop in groups(texts, 1_000_000):
             cut = [EDGE.split(" " + t) if t else [] for t in texts[start:stop]]
-            new = list(set().union(*cut).difference(self.memo))
-            self._learn(new)
+            new = set().union(*cut).difference(self.memo)
+            known = new & self.older.keys()
+            self.memo.update((c, self.older[c]) for c in known)
+            self._learn(list(new - known))
             for chunks in cut:
                 made = list(map(self.memo.__getitem__, chunks))
                 yield None if not made or None in made else made
             if len(self.memo) > MEMO:
-                self.memo.clear()
+                self.memo, self.older, self.pairs = {}, self.memo, {}
             else:
                 for c in new:
                     if len(c) > MEMO_CHARS:
@@ -199,24 +203,24 @@ def linked(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", te
 
         def handle(batch):
             nonlocal at
-            out = []
+            columns: list[list] = [[] for _ in range(5)]
+            pairs, times, stops = [], [], [0]
             for made in both.align_many(batch.column("_text").to_pylist()):
-                if made is None:
-                    out.append((0, 0, 0, 0, "", []))
-                    continue
-                times: Counter[int] = Counter()
-                for m, n in Counter(made).items():
-                    for pair in m.links:
-                        times[pair] += n
-                n_a, n_b, n_groups = (sum(x) for x in zip(*((m.n_a, m.n_b, len(m.cuts)) for m in made)))
-                digest = hashlib.sha256(";".join([m.groups for m in made]).encode()).hexdigest()
-                out.append((n_a, n_b, n_groups, sum(times.values()), digest, [{"pair": p, "times": n} for p, n in times.items()]))
-            numbers = pa.array(range(base + at, base + at + len(out)), pa.int64())
-            at += len(out)
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))]
+                made = made or []
+                links = Counter(chain.from_iterable([m.links for m in made]))
+                pairs += links.keys()
+                times += links.values()
+                stops.append(len(pairs))
+                digest = hashlib.sha256(";".join([m.groups for m in made]).encode()).hexdigest() if made else ""
+                n_groups = sum([len(m.cuts) for m in made])
+                for column, x in zip(columns, (sum([m.n_a for m in made]), sum([m.n_b for m in made]), n_groups, sum(links.values()), digest)):
+                    column.append(x)
+            numbers = pa.array(range(base + at, base + at + len(stops) - 1), pa.int64())
+            at += len(stops) - 1
+            linked_ = pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(times, pa.int64())], ["pair", "times"])
+            made_ = [pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.string()])]
             return pa.record_batch(
-                [numbers, batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                [numbers, batch.column("doc_id"), *made_, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), linked_)],
                 names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
         return handle
