@@ -183,7 +183,8 @@ def stretches(docs: DataFrame, bits: np.ndarray, least: int, text: str) -> DataF
                 at = np.flatnonzero(hit)
                 if not len(at):
                     continue
-                starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+                # seeds less than a seed apart share words and lie in one stretch, so no word is in two
+                starts = np.flatnonzero(np.diff(at, prepend=at[0] - least) >= least)
                 ends = np.append(starts[1:], len(at)) - 1
                 keys.append(key)
                 words_out.append([words[at[a] : at[b] + least].view(np.int64) for a, b in zip(starts, ends)])

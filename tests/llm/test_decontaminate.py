@@ -58,6 +58,28 @@ def test_copies_reordered_and_partial_passages(spark, documents):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
 
 
+def test_words_of_overlapping_seeds_count_once(spark, documents):
+    """Two matches that share two words of the document: only one of them can be a tile."""
+    row = d.overlaps(documents([(1, "a b c d e f g h")]), bench(spark, [(1, "a b c d e x y d e f g h", 0, "")])).collect()
+    assert [(r.matched, r.item_words) for r in row] == [(5, 12)]
+    assert d.leaks(documents([(1, "a b c d e f g h")]), bench(spark, [(1, "a b c d e x y d e f g h", 0, "")])).count() == 0
+
+
+def test_seeds_one_to_four_words_apart(spark, documents):
+    rng = random.Random(17)
+    text = [f"w{i}" for i in range(24)]
+    items, docs = [], [(0, " ".join(text))]
+    for j in range(40):  # an item is made of pieces of the document that overlap by one to four words
+        at, parts = rng.randrange(6), []
+        while at + 5 <= len(text):
+            end = min(len(text), at + rng.randint(5, 7))
+            parts.append(" ".join(text[at:end]))
+            at = end - rng.randint(1, 4)
+        items.append((j, f" gap{j} ".join(parts)))
+    got = {r.item_id: r.matched for r in d.overlaps(documents(docs), bench(spark, [(j, t, 0, "") for j, t in items])).collect()}
+    assert got == {j: plain_tiling(text, t.split(), d.MIN_MATCH) for j, t in items}
+
+
 def test_odd_rows_and_empty_tables(spark, documents, odd):
     docs = documents(odd)
     none = bench(spark, [])
