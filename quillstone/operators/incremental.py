@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..session import materialise
+from .joins import salted_join
+from .ranking import ranked
 
 
 def atoms_key(file_hash: Column, model: Column, version: Column, tier: Column) -> Column:
@@ -17,16 +20,72 @@ def split_hits(files: DataFrame, cache: DataFrame, key: str, now: Column, ttl_da
     return files.join(live.drop("ts"), key), files.join(live, key, "left_anti")
 
 
-def file_set_key(files: DataFrame, domain: str, file_hash: str, model: str, tier: str) -> DataFrame:
-    """One key per exact set of files.
+SET_BLOCK = 1024
 
-    The set is summarised by count and two sums of hash parts, which combine
-    map-side, instead of one string with every hash in it.
+
+def file_set_key(files: DataFrame, domain: str, file_hash: str, order: str, model: str, tier: str) -> DataFrame:
+    """(domain, n, set_key): one key per exact set of files, whatever their order.
+
+    The key is that of the sorted hashes in a row.  A set of more than ``SET_BLOCK`` files is
+    first shortened: each block of sorted hashes becomes the digest of the block, until one
+    block is left.  Sets differ if a hash differs, also where sums would not; no row holds more
+    than a block.  ``order`` tells equal hashes apart; repeated files count.
+    """
+    n = files.groupBy(domain).agg(F.count("*").alias("n"))
+    items = files.select(domain, F.col(file_hash).alias("item"), F.col(order).alias("_o"))
+    items = materialise(ranked(items, [F.col("item"), F.col("_o")], "pos", [domain]).select(domain, "pos", "item"), "hashes")
+
+    def joined(group: list[Column]) -> DataFrame:
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])
+        return items.groupBy(*group).agg(F.array_join(in_order, ":").alias("item"))
+
+    while not items.filter(F.col("pos") > SET_BLOCK).isEmpty():
+        long = items.filter(F.col("pos") > SET_BLOCK).select(domain).distinct().withColumn("_long", F.lit(True))
+        items = salted_join(items, long, [domain], F.col("pos"), "left")
+        rest = items.filter(F.col("_long").isNull()).select(domain, "pos", "item")
+        items = items.filter(F.col("_long"))
+        block = joined([F.col(domain), (F.floor((F.col("pos") - 1) / SET_BLOCK) + 1).alias("pos")])
+        items = materialise(rest.unionByName(block.select(domain, "pos", F.sha2(F.col("item").cast("binary"), 256).alias("item"))), "hashes")
+    key = T.content_key(F.col(domain), F.col("item"), F.lit(model), F.lit(tier))
+    return joined([F.col(domain)]).join(n, domain).select(domain, "n", key.alias("set_key"))
+
+
+# --- vectors -------------------------------------------------------------------------------------
+
+VECTORS = "key string, text_hash string, model string, vector array<double>, ts timestamp"
+
+
+def vector_key(text_hash: Column, model: Column) -> Column:
+    return T.content_key(text_hash, model)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The stored vectors; of a key written twice the latest row counts.  No folder yet is no vectors."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], VECTORS)
+    stored = spark.read.schema(VECTORS).parquet(path)
+    return stored.groupBy("key").agg(F.max_by(F.struct("text_hash", "model", "vector", "ts"), "ts").alias("v")).select("key", "v.*")
+
+
+def split_vectors(texts: DataFrame, text: str, model: str, stored: DataFrame, now: Column, ttl_days: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of texts under a model.
+
+    Hits are the rows of ``texts`` with ``key`` and ``vector``.  Misses are the different texts
+    that no live row has, one row each (``key, text_hash`` and the text), however many copies
+    ask; only they move with their text.  A null text is the empty one.
     """
-    def part(start: int) -> Column:
-        return F.sum(F.conv(F.substring(file_hash, start, 8), 16, 10).cast("long"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    hashed = T.content_key(whole)
+    keyed = texts.withColumn("key", vector_key(hashed, F.lit(model)))
+    live = stored.filter((F.col("model") == model) & (F.unix_timestamp(now) - F.unix_timestamp("ts") <= ttl_days * 86400)).select("key", "vector")
+    others = [c for c in texts.columns if c != text]
+    # a much copied text is one key of the cache
+    hits = salted_join(keyed.select(*others, "key"), live, ["key"], F.monotonically_increasing_id())
+    different = keyed.groupBy("key").agg(F.first(hashed).alias("text_hash"), F.first(whole).alias(text))
+    return hits, different.join(live.select("key"), "key", "left_anti")
+
 
-    a = files.groupBy(domain).agg(F.count("*").alias("n"), part(1).alias("s1"), part(9).alias("s2"))
-    key = T.content_key(F.col(domain), F.col("n").cast("string"), F.col("s1").cast("string"), F.col("s2").cast("string"),
-                        F.lit(model), F.lit(tier))
-    return a.select(domain, "n", key.alias("set_key"))
+def append_vectors(made: DataFrame, model: str, path: str, now: Column) -> None:
+    """Add the vectors of misses (``key, text_hash, vector``) to the cache."""
+    made.select("key", "text_hash", F.lit(model).alias("model"), F.col("vector").cast("array<double>").alias("vector"), now.cast("timestamp").alias("ts")).write.mode("append").parquet(path)

@@ -166,27 +166,57 @@ def test_contexts(tests: DataFrame, atoms: DataFrame, order: str) -> DataFrame:
 INLINE_CHARS = 50_000
 
 
-def inline_references(knowledge: DataFrame, refs: DataFrame, order: str, text: str, overhead: int = 0, limit: int = INLINE_CHARS) -> DataFrame:
-    """(ord, text, is_cut): references that fit beside the knowledge text, the last one cut.
+REFERENCES_CUT = "\n\n*[References truncated to fit size limit]*"
+
+
+def _fitted(rows: DataFrame, order: str, text: str, budget: Column) -> DataFrame:
+    """(ord, text, is_cut): the texts, two characters apart, that lie within ``budget``, the last one cut.
 
     Rows stay rows; positions come from a running sum that no single task computes.
     """
-    used = knowledge.agg((F.coalesce(F.sum(F.length(text) + 1), F.lit(0)) + overhead).alias("u")).scalar()
-    r = refs.filter(F.length(text) > 0).select(F.col(order).alias("ord"), F.col(text).alias("text"))
+    r = rows.filter(F.length(text) > 0).select(F.col(order).alias("ord"), F.col(text).alias("text"))
     placed = running_total(r, [F.col("ord")], F.length("text") + 2, "_end")
-    total = r.agg(F.coalesce(F.sum(F.length("text") + 2) - 2, F.lit(0)).alias("t")).scalar()
-    budget = F.when(used + total > limit, F.greatest(limit - used - 200, F.lit(0))).otherwise(total)
     start = F.col("_end") - F.length("text") - 2
     kept = placed.withColumn("_left", (budget - start).cast("int")).filter(F.col("_left") > 0)
     return kept.select("ord", F.left("text", F.col("_left")).alias("text"), (F.col("_left") < F.length("text")).alias("is_cut"))
 
 
+def _total(rows: DataFrame, text: str) -> Column:
+    """Characters of all texts, two apart, as a scalar."""
+    filled = rows.filter(F.length(text) > 0)
+    return filled.agg(F.coalesce(F.sum(F.length(text) + 2) - 2, F.lit(0)).alias("t")).scalar()
+
+
+def _knowledge_chars(knowledge: DataFrame, text: str, overhead: int) -> Column:
+    return knowledge.agg((F.coalesce(F.sum(F.length(text) + 1), F.lit(0)) + overhead).alias("u")).scalar()
+
+
+def _reference_chars(used: Column, total: Column, limit: int) -> Column:
+    return F.when(used + total > limit, F.greatest(limit - used - 200, F.lit(0))).otherwise(total)
+
+
+def inline_references(knowledge: DataFrame, refs: DataFrame, order: str, text: str, overhead: int = 0, limit: int = INLINE_CHARS) -> DataFrame:
+    """(ord, text, is_cut): references that fit beside the knowledge text, the last one cut."""
+    used, total = _knowledge_chars(knowledge, text, overhead), _total(refs, text)
+    return _fitted(refs, order, text, _reference_chars(used, total, limit))
+
+
 def inline_examples(used: Column, total: Column, limit: int = INLINE_CHARS) -> Column:
     """Characters of example text that go in: all, a cut, or none."""
     room = limit - used
     return F.when(used + total < limit, total).when(room > 1000, F.least(total, room - 200)).otherwise(0)
 
 
+def inline_document(knowledge: DataFrame, refs: DataFrame, examples: DataFrame, order: str, text: str, overhead: int = 0, limit: int = INLINE_CHARS) -> DataFrame:
+    """(part, ord, text, is_cut): references, then code examples in what room they leave."""
+    used, total = _knowledge_chars(knowledge, text, overhead), _total(refs, text)
+    inlined = _reference_chars(used, total, limit)
+    after = used + inlined + F.when(used + total > limit, len(REFERENCES_CUT)).otherwise(0)
+    budget = inline_examples(after, _total(examples, text), limit)
+    return _fitted(refs, order, text, inlined).select(F.lit("reference").alias("part"), "*").unionByName(
+        _fitted(examples, order, text, budget).select(F.lit("example").alias("part"), "*"))
+
+
 def lint_document(description: Column, body: Column) -> Column:
     """Warnings for description length and body lines outside front matter."""
     words = T.word_count(description)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K, text as T
@@ -197,18 +199,19 @@ def chapter_merge(spark, sf):
 
 
 @query("scraped_pages", "S11", f"""
-WITH p AS (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS links, regexp_extract_all(html, '<h([1-6])[^>]*>', 1) AS hs FROM pages)
-SELECT page_id, CAST(len(links) AS INT) AS n_links, coalesce(links[1], '') AS first_link, CAST(len(hs) AS INT) AS n_headings, coalesce(hs[1], '') AS first_level FROM p""")
+WITH p AS (SELECT url, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS links, regexp_extract_all(html, '<h([1-6])[^>]*>', 1) AS hs FROM pages)
+SELECT url, CAST(len(links) AS INT) AS n_links, coalesce(links[1], '') AS first_link, CAST(len(hs) AS INT) AS n_headings, coalesce(hs[1], '') AS first_level FROM p""")
 def scraped_pages(spark, sf):
-    p = table(spark, sf, "pages")
-    body = F.to_json(F.struct(
+    """Pages written in the scraper's nested form and read back by the page reader."""
+    p = table(spark, sf, "pages").select(
         "url", H.page_title(F.col("html")).alias("title"), F.lit("").alias("content"),
         F.transform(F.regexp_extract_all("html", F.lit("<h([1-6])[^>]*>"), 1), lambda h: F.struct(h.alias("level"), F.lit("").alias("text"), F.lit("").alias("id"))).alias("headings"),
-        F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), 1).alias("links")))
-    read = p.select("page_id", F.from_json(body, files.PAGE).alias("p"))
-    return read.select(
-        "page_id", F.size("p.links").alias("n_links"), F.coalesce(F.get("p.links", F.lit(0)), F.lit("")).alias("first_link"),
-        F.size("p.headings").alias("n_headings"), F.coalesce(F.get("p.headings", F.lit(0))["level"], F.lit("")).alias("first_level"))
+        F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), 1).alias("links"))
+    path = f"{shared_dir(spark)}/quillstone/scraped-{uuid.uuid4().hex}"
+    files.write_scraped_pages(p, path)
+    return files.read_scraped_pages(spark, path, lines=True).select(
+        "url", F.size("links").alias("n_links"), F.coalesce(F.get("links", F.lit(0)), F.lit("")).alias("first_link"),
+        F.size("headings").alias("n_headings"), F.coalesce(F.get("headings", F.lit(0))["level"], F.lit("")).alias("first_level"))
 
 
 @query("registry_patch", "S12", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K, text as T
@@ -9,9 +11,10 @@ from ..operators import (
     batching as B, conflicts as X, coverage as C, dedup as D, evidence as E, incremental as I, publish as P, scores as R,
     similarity as Z)
 from ..operators.urls import top_rows
+from ..session import materialise, shared_dir
 from . import sqlparts as S
 from .registry import query, table
-from .similarity_plans import _texts
+from .similarity_plans import _TEXT200, _texts, tfidf_sql
 from .text_plans import _NOTE_SQL, _TITLE, _note
 
 # --- documents as atoms --------------------------------------------------------------------------
@@ -87,15 +90,16 @@ _NUMS = f"list_sort(list_distinct(regexp_extract_all(content, '{T.NUMBER}')))"
 _THR = 0.6
 
 
-@query("issue_pairs", "J7 K3", f"""
-WITH {_ATOMS}, reps AS (SELECT min(idx) AS rep, source, title, content, gap_filled FROM atoms WHERE source <> 'codebase' GROUP BY source, title, content, gap_filled), {_KW},
+_ISSUES = f"""reps AS (SELECT min(idx) AS rep, source, title, content, gap_filled FROM atoms WHERE source <> 'codebase' GROUP BY source, title, content, gap_filled), {_KW},
 n AS (SELECT id, count(*) AS n FROM kw GROUP BY 1),
 o AS (SELECT x.id AS t, y.id AS b, count(*)::DOUBLE AS c FROM kw x JOIN kw y USING (kw) JOIN reps rx ON rx.rep = x.id AND rx.source = 'transcript' JOIN reps ry ON ry.rep = y.id AND ry.source = 'baseline' GROUP BY 1, 2),
 p AS (SELECT t, b, c / least(nt.n, nb.n) AS overlap FROM o JOIN n nt ON nt.id = t JOIN n nb ON nb.id = b),
 f AS (SELECT rep, gap_filled, {_NUMS} AS nums, {S.any_of('lower(content)', K.NEGATIONS)} AS neg FROM reps),
 i AS (SELECT t, b, overlap, CASE WHEN overlap >= {_THR}::DOUBLE THEN 'duplicate' WHEN overlap < {_THR * 2 / 3!r}::DOUBLE THEN NULL WHEN x.neg <> y.neg THEN 'contradiction'
-  WHEN len(x.nums) > 0 AND len(y.nums) > 0 AND x.nums <> y.nums THEN CASE WHEN y.gap_filled THEN 'outdated' ELSE 'contradiction' END END AS issue FROM p JOIN f x ON x.rep = t JOIN f y ON y.rep = b)
-SELECT t, b, round(overlap, 6) AS overlap, issue FROM i WHERE issue IS NOT NULL""")
+  WHEN len(x.nums) > 0 AND len(y.nums) > 0 AND x.nums <> y.nums THEN CASE WHEN y.gap_filled THEN 'outdated' ELSE 'contradiction' END END AS issue FROM p JOIN f x ON x.rep = t JOIN f y ON y.rep = b)"""
+
+
+@query("issue_pairs", "J7 K3", f"WITH {_ATOMS}, {_ISSUES} SELECT t, b, round(overlap, 6) AS overlap, issue FROM i WHERE issue IS NOT NULL")
 def issue_pairs(spark, sf):
     reps = _atoms(spark, sf).filter("source <> 'codebase'").groupBy("source", "title", "content", "gap_filled").agg(F.min("idx").alias("rep"))
     t, b = (reps.filter(F.col("source") == s) for s in ("transcript", "baseline"))
@@ -103,7 +107,20 @@ def issue_pairs(spark, sf):
     return p.withColumn("overlap", F.round("overlap", 6))
 
 
-@query("cross_source_dedup", "J8 X3 F4")
+# One pair a step, in order: ``gone`` atoms take no part, a ``done`` one has had its turn.
+_DECIDE = f"""m AS (SELECT a.idx, r.rep, a.confidence AS c FROM atoms a JOIN reps r USING (source, title, content, gap_filled)),
+pr AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t.idx, b.idx) AS k, t.idx AS t, b.idx AS b, issue, t.c >= b.c AS keep_t FROM i JOIN m t ON t.rep = i.t JOIN m b ON b.rep = i.b WHERE issue IS NOT NULL),
+s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone, []::BIGINT[] AS done, []::BIGINT[] AS seen UNION ALL
+  SELECT x.k, CASE WHEN NOT x.live OR issue = 'contradiction' THEN gone WHEN issue = 'duplicate' AND keep_t THEN list_append(gone, b) ELSE list_append(gone, t) END,
+   CASE WHEN x.live AND issue = 'duplicate' THEN list_append(done, t) ELSE done END, CASE WHEN x.live AND issue = 'contradiction' THEN list_append(seen, x.k) ELSE seen END
+  FROM (SELECT pr.*, gone, done, seen, NOT (list_contains(gone, t) OR list_contains(gone, b) OR list_contains(done, t)) AS live FROM s JOIN pr ON pr.k = s.k + 1) x),
+fin AS (SELECT gone, seen FROM s ORDER BY k DESC LIMIT 1), hit AS (SELECT k, t, b FROM (SELECT unnest(seen) AS k FROM fin) JOIN pr USING (k)),
+conf AS (SELECT idx, max(k) AS k FROM (SELECT t AS idx, k FROM hit UNION ALL SELECT b, k FROM hit) GROUP BY 1)"""
+
+
+@query("cross_source_dedup", "J8 X3 F4", f"""WITH RECURSIVE {_ATOMS}, {_ISSUES}, {_DECIDE}
+SELECT a.idx, a.source, CASE WHEN pr.k IS NOT NULL THEN 'contradiction' END AS conflict_type, pr.t AS conflict_t, pr.b AS conflict_b
+FROM atoms a LEFT JOIN conf ON conf.idx = a.idx LEFT JOIN pr ON pr.k = conf.k WHERE NOT list_contains((SELECT gone FROM fin), a.idx)""")
 def cross_source_dedup(spark, sf):
     a = _atoms(spark, sf).select("idx", "title", F.col("content").alias("text"), "source", "confidence", "gap_filled")
     out = D.cross_source_dedup(a, _THR)["atoms"]
@@ -125,7 +142,20 @@ def adaptive_threshold(spark, sf):
     return n.withColumn("threshold", D.adaptive_threshold(0.8, F.col("n")))
 
 
-@query("corroboration", "J11 F4")
+# One atom a step, in order: it takes the first later unused similar atom of each other source.
+_CLUSTERS = f"""src AS (SELECT doc_id, source, {_TEXT200} AS t FROM documents), {tfidf_sql('src', 'doc_id', 't')}, reps AS (SELECT min(doc_id) AS rep, t FROM src GROUP BY t),
+near AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.term = y.term WHERE x.id <> y.id AND x.id IN (SELECT rep FROM reps) AND y.id IN (SELECT rep FROM reps) GROUP BY 1, 2 HAVING least(1, sum(x.w * y.w)) > 0.80
+  UNION ALL SELECT rep, rep FROM reps), m AS (SELECT doc_id, source, rep FROM src JOIN reps USING (t)),
+c AS MATERIALIZED (SELECT x.doc_id AS i, list({{'j': y.doc_id, 's': y.source}} ORDER BY y.doc_id) AS js, row_number() OVER (ORDER BY x.doc_id) AS k
+  FROM m x JOIN near ON near.a = x.rep JOIN m y ON y.rep = near.b AND y.doc_id > x.doc_id AND y.source <> x.source GROUP BY 1),
+s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS head, 0::BIGINT AS n UNION ALL
+  SELECT k, list_concat(used, list_transform(got, lambda x: x.j)), i, CASE WHEN len(got) > 0 THEN 1 + len(got) ELSE 0 END
+  FROM (SELECT k, used, i, list_filter(open, lambda x, place: list_position(list_transform(open, lambda y: y.s), x.s) = place) AS got
+    FROM (SELECT c.k, used, i, list_filter(js, lambda x: NOT list_contains(used, x.j) AND NOT list_contains(used, i)) AS open FROM s JOIN c ON c.k = s.k + 1)))"""
+
+
+@query("corroboration", "J11 F4", f"""WITH RECURSIVE {_CLUSTERS}
+SELECT head, n AS n_sources, printf('Corroborated by %d sources.', n) AS note FROM s WHERE n >= 2""")
 def corroboration(spark, sf):
     d = _texts(spark, sf)
     pairs = Z.self_pairs(d, "doc_id", "t", 0.80).filter(F.col("sim") > 0.80)
@@ -677,6 +707,25 @@ def inline_references(spark, sf):
     return P.inline_references(table(spark, sf, "benchmark").select("text"), d, "doc_id", "text", overhead=100)
 
 
+_INLINE = 100_000
+
+
+@query("inlined_document", "W5", f"""
+WITH k AS (SELECT sum(length(text) + 1) + 100 AS u FROM benchmark), r AS (SELECT page_id AS ord, url AS text FROM pages),
+rt AS (SELECT sum(length(text) + 2) - 2 AS t FROM r), rb AS (SELECT CASE WHEN u + t > {_INLINE} THEN greatest({_INLINE} - u - 200, 0) ELSE t END AS b, u + t > {_INLINE} AS cut, u FROM k CROSS JOIN rt),
+rp AS (SELECT *, coalesce(sum(length(text) + 2) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM r),
+x AS (SELECT conv_id * 1000 + turn AS ord, text FROM conversations WHERE length(text) > 0), xt AS (SELECT sum(length(text) + 2) - 2 AS t FROM x),
+ub AS (SELECT u + b + CASE WHEN cut THEN 44 ELSE 0 END AS u2 FROM rb),
+xb AS (SELECT CASE WHEN u2 + t < {_INLINE} THEN t WHEN {_INLINE} - u2 > 1000 THEN least(t, {_INLINE} - u2 - 200) ELSE 0 END AS b FROM ub CROSS JOIN xt),
+xp AS (SELECT *, coalesce(sum(length(text) + 2) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM x)
+SELECT 'reference' AS part, ord, left(text, CAST(b - s AS INT)) AS text, b - s < length(text) AS is_cut FROM rp CROSS JOIN rb WHERE b - s > 0
+UNION ALL SELECT 'example', ord, left(text, CAST(b - s AS INT)), b - s < length(text) FROM xp CROSS JOIN xb WHERE b - s > 0""")
+def inlined_document(spark, sf):
+    refs = table(spark, sf, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("text"))
+    examples = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
+    return P.inline_document(table(spark, sf, "benchmark").select("text"), refs, examples, "ord", "text", 100, _INLINE)
+
+
 @query("build_listing", "W6", f"WITH {_BUILDS} SELECT id, domain, status FROM b WHERE status = 'completed'")
 def build_listing(spark, sf):
     return P.builds_listing(_builds(spark, sf), "completed").select("id", "domain", "status")
@@ -747,7 +796,31 @@ def cache_misses(spark, sf):
 
 
 @query("file_set_keys", "J19", """
-WITH h AS (SELECT source, sha256(text) AS h FROM documents), s AS (SELECT source, count(*) AS n, sum(('0x' || substring(h, 1, 8))::BIGINT)::BIGINT AS s1, sum(('0x' || substring(h, 9, 8))::BIGINT)::BIGINT AS s2 FROM h GROUP BY 1)
-SELECT source, n, left(sha256(concat_ws(':', source, n, s1, s2, 'm1', 'standard')), 16) AS set_key FROM s""")
+WITH h AS (SELECT source, left(sha256(text), 16) AS h FROM documents)
+SELECT source, count(*) AS n, left(sha256(concat_ws(':', source, string_agg(h, ':' ORDER BY h), 'm1', 'standard')), 16) AS set_key FROM h GROUP BY 1""")
 def file_set_keys(spark, sf):
-    return I.file_set_key(_files(spark, sf), "source", "hash", "m1", "standard")
+    return I.file_set_key(_files(spark, sf), "source", "hash", "doc_id", "m1", "standard")
+
+
+# Every third text is stored, some too long ago; what is missing gets its vector and is found the second time.
+@query("embedding_cache", "J19", f"""
+WITH f AS (SELECT doc_id, left(sha256(left(sha256(text), 16) || ':m1'), 16) AS key FROM documents), e AS (SELECT vec_id, embedding FROM embeddings),
+c AS (SELECT key, arg_max(embedding, ts) AS embedding, max(ts) AS ts FROM (SELECT key, embedding, TIMESTAMP '{_NOW}' - to_seconds(vec_id % 40 * 86400 + vec_id) AS ts FROM f JOIN e ON vec_id = doc_id WHERE doc_id % 3 = 0) GROUP BY 1),
+l AS (SELECT key, embedding FROM c WHERE epoch(TIMESTAMP '{_NOW}') - epoch(ts) <= 30 * 86400)
+SELECT doc_id, key, l.key IS NOT NULL AS first_hit, round(CASE WHEN l.key IS NULL THEN ('0x' || substring(key, 1, 6))::BIGINT ELSE list_sum(embedding::DOUBLE[]) END, 4) AS total FROM f LEFT JOIN l USING (key)""")
+def embedding_cache(spark, sf):
+    now, path = F.lit(_NOW).cast("timestamp"), f"{shared_dir(spark)}/quillstone/vectors-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    stored = d.filter(F.col("doc_id") % 3 == 0).join(e, "doc_id")
+    age = F.col("doc_id") % 40 * 86400 + F.col("doc_id")
+    hashed = T.content_key(F.col("text"))
+    stored = stored.select(I.vector_key(hashed, F.lit("m1")).alias("key"), hashed.alias("text_hash"), "vector", F.timestamp_seconds(F.unix_timestamp(now) - age).alias("ts"))
+    I.append_vectors(stored, "m1", path, F.col("ts"))
+    hits, misses = I.split_vectors(d, "text", "m1", I.read_vectors(spark, path), now)
+    first = materialise(hits.select("doc_id"), "hits").withColumn("_hit", F.lit(True))
+    made = misses.select("key", "text_hash", F.array(F.conv(F.substring("key", 1, 6), 16, 10).cast("double")).alias("vector"))  # stands for the model's answer
+    I.append_vectors(materialise(made, "made"), "m1", path, now)
+    again, none = I.split_vectors(d, "text", "m1", I.read_vectors(spark, path), now)
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 4)
+    return again.join(first, "doc_id", "left").select("doc_id", "key", F.coalesce("_hit", F.lit(False)).alias("first_hit"), total.alias("total"))

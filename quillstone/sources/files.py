@@ -109,8 +109,14 @@ def phase_counters(atoms: DataFrame, build: str = "build_id") -> DataFrame:
     )
 
 
-def read_scraped_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGE).json(path, multiLine=True)
+def read_scraped_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Scraped pages: a JSON document per file, or with ``lines`` one per line, which splits."""
+    return spark.read.schema(PAGE).json(path, multiLine=not lines)
+
+
+def write_scraped_pages(pages: DataFrame, path: str) -> None:
+    """Pages in the nested form of the reader, one JSON document per line."""
+    pages.select(*PAGE.fieldNames()).write.json(path)
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:

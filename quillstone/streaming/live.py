@@ -20,16 +20,66 @@ def _folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillstone/{label}-{uuid.uuid4().hex}"
 
 
-def live_state(spark: SparkSession, root: str) -> DataFrame:
-    """Current facts of a state folder: the latest of what its micro-batches changed."""
-    return E.current(spark.read.schema(FACTS).parquet(f"{root}/changes"))
+# --- state folder: numbered snapshots and the changes after them ---------------------------------
+
+COMPACT_EVERY = 16
+
+
+def _fs(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def run_live_state(stream: DataFrame, build: str, ord_: str, root: str | None = None) -> DataFrame:
+def _numbered(spark: SparkSession, folder: str, mark: str, finished: bool) -> list[int]:
+    """Numbers n of the sub-folders ``mark=n``, in order; with ``finished`` only those that were written to the end."""
+    fs, place = _fs(spark, folder)
+    if not fs.exists(place):
+        return []
+    found = []
+    for status in fs.listStatus(place):
+        name = status.getPath().getName()
+        if name.startswith(f"{mark}=") and (not finished or fs.exists(_fs(spark, f"{folder}/{name}/_SUCCESS")[1])):
+            found.append(int(name.split("=")[1]))
+    return sorted(found)
+
+
+def live_state(spark: SparkSession, root: str) -> DataFrame:
+    """Current facts of a state folder: the newest whole snapshot and what changed after it."""
+    changes = spark.read.schema(FACTS + ", b long").parquet(f"{root}/changes")
+    snapshots = _numbered(spark, f"{root}/snapshots", "s", True)
+    if not snapshots:
+        return E.current(changes.drop("b"))
+    newest = snapshots[-1]
+    snapshot = spark.read.schema(FACTS).parquet(f"{root}/snapshots/s={newest}")
+    return E.current(snapshot.unionByName(changes.filter(F.col("b") > newest).drop("b")))
+
+
+def compact(spark: SparkSession, root: str, upto: int) -> None:
+    """Write the state up to micro-batch ``upto`` as a snapshot, then remove what the one before it covers.
+
+    A snapshot counts once its success marker stands, so a run that is lost before that leaves
+    the old snapshot and its changes in force, and one that is lost after it leaves only more
+    files than needed: facts read twice are the same facts.  Readers that began on the snapshot
+    before keep their files, since these go one generation later.
+    """
+    before = [n for n in _numbered(spark, f"{root}/snapshots", "s", True) if n < upto]
+    live_state(spark, root).select("build", "field", "value", "ord").write.mode("overwrite").parquet(f"{root}/snapshots/s={upto}")
+    if before:
+        covered = before[-1]
+        old = [f"snapshots/s={n}" for n in _numbered(spark, f"{root}/snapshots", "s", False) if n < covered]
+        old += [f"changes/b={n}" for n in _numbered(spark, f"{root}/changes", "b", False) if 0 <= n <= covered]
+        for name in old:
+            fs, place = _fs(spark, f"{root}/{name}")
+            fs.delete(place, True)
+
+
+def run_live_state(stream: DataFrame, build: str, ord_: str, root: str | None = None, every: int = COMPACT_EVERY) -> DataFrame:
     """Drain ``stream`` of parsed events into the state folder ``root``; returns the state.
 
     A micro-batch writes the facts it changed under its own number, so its work follows the
-    batch and not the state, and a repeated batch rewrites the same rows.  Progress is kept in
+    batch and not the state, and a repeated batch rewrites the same rows.  After ``every`` of
+    them the state becomes a snapshot, so the folder holds a bounded number of changes however
+    long the stream runs.  Progress is kept in
     ``root`` too: a later run over the same source goes on where this one stopped.  Without
     ``root`` a new folder is taken.  Lines that are no JSON go to a quarantine table.
     """
@@ -41,6 +91,8 @@ def run_live_state(stream: DataFrame, build: str, ord_: str, root: str | None =
         batch.filter(~F.col("is_json")).select(ord_, "message").write.mode("overwrite").parquet(f"{root}/quarantine/b={batch_id}")
         E.current(E.facts(batch, build, ord_)).select("build", "field", "value", "ord").write.mode("overwrite").parquet(
             f"{root}/changes/b={batch_id}")
+        if batch_id % every == every - 1:
+            compact(spark, root, batch_id)
 
     query = (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")

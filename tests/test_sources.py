@@ -2,7 +2,9 @@
 
 import json
 
-from quillstone.operators import responses, sections, trees
+from pyspark.sql import functions as F
+
+from quillstone.operators import cleaning, incremental, publish, responses, sections, trees
 from quillstone.sources import files
 
 
@@ -73,3 +75,74 @@ def test_write_phase_partitions_by_build(spark, tmp_path):
     df = spark.createDataFrame([("b1", "x"), ("b2", "y")], "build_id string, id string")
     files.write_phase(df, str(tmp_path / "out"))
     assert (tmp_path / "out" / "build_id=b1").exists() and spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_scraped_pages_one_document_a_file_or_a_line(spark, tmp_path):
+    page = {"url": "https://x.org", "title": "T", "content": "c", "headings": [{"level": "2", "text": "h", "id": ""}], "links": ["/a", "/b"], "odd": 1}
+    (tmp_path / "one.json").write_text(json.dumps(page, indent=2))
+    read = files.read_scraped_pages(spark, str(tmp_path / "one.json"))
+    assert read.first().links == ["/a", "/b"] and read.first().headings[0].level == "2"
+    files.write_scraped_pages(read.withColumn("more", F.lit(1)).unionAll(read.withColumn("more", F.lit(2))), str(tmp_path / "out"))
+    back = files.read_scraped_pages(spark, str(tmp_path / "out"), lines=True)
+    assert back.collect() == [read.first()] * 2
+
+
+def test_tree_reader_and_baseline_summary(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1")
+    (tmp_path / "README.md").write_text("hello")
+    rows = {r.path: (r.size, r.content) for r in files.read_tree(spark, str(tmp_path)).collect()}
+    assert rows == {"src/a.py": (5, "x = 1"), "README.md": (5, "hello")}
+    (tmp_path / "summary.json").write_text(json.dumps({"source": "nowhere", "references": [], "odd": 2}, indent=1))
+    assert files.read_baseline_summary(spark, str(tmp_path / "summary.json")).first().source == "nowhere"
+    assert files.admitted(files.read_baseline_summary(spark, str(tmp_path / "summary.json"))).count() == 0
+
+
+def test_clean_summary_names_what_was_removed(spark):
+    df = spark.createDataFrame([("a\n\n\n\n\nb   \n12\n",), ("plain",)], "raw string")
+    said = [r.s for r in cleaning.clean(df, "raw", "content").select(cleaning.clean_summary(F.col("clean_stats")).alias("s")).collect()]
+    assert said[0].startswith("Cleaned: removed ") and said[1] == "Clean: no noise detected"
+
+
+def test_set_keys_tell_sets_apart_that_sums_do_not(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "SET_BLOCK", 3)
+    a, b = "00000001" + "00000002", "00000003" + "00000004"
+    c, d = "00000002" + "00000001", "00000002" + "00000005"  # the same sums of both parts
+    sets = {"x": [a, b], "y": [b, a], "z": [c, d], "v": [a, b, b], "w": [f"{i:016x}" for i in range(40)], "u": [f"{i:016x}" for i in reversed(range(40))],
+            "t": [f"{i:016x}" for i in range(39)] + ["f" * 16]}
+    rows = [(k, h, i) for k, hs in sets.items() for i, h in enumerate(hs)]
+    keys = {r.d: (r.n, r.set_key) for r in incremental.file_set_key(spark.createDataFrame(rows, "d string, h string, i long").withColumn("d0", F.col("d")), "d", "h", "i", "m", "t").collect()}
+    assert {k: n for k, (n, _) in keys.items()} == {k: len(h) for k, h in sets.items()}
+    # the domain is part of the key, so sets are compared under one name
+    one = {}
+    for name in "xyzvwut":
+        rows = [("d", h, i) for i, h in enumerate(sets[name])]
+        one[name] = incremental.file_set_key(spark.createDataFrame(rows, "d string, h string, i long"), "d", "h", "i", "m", "t").first().set_key
+    assert one["x"] == one["y"] and one["w"] == one["u"]
+    assert len({one[n] for n in "xzvwt"}) == 5
+
+
+def test_vectors_are_made_once_per_text(spark, tmp_path):
+    path, now = str(tmp_path / "vectors"), F.lit("2024-01-31").cast("timestamp")
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "")], "id long, text string")
+    hits, misses = incremental.split_vectors(texts, "text", "m", incremental.read_vectors(spark, path), now)
+    assert hits.count() == 0 and sorted(r.text for r in misses.collect()) == ["", "a", "b"]
+    incremental.append_vectors(misses.filter("text <> 'b'").withColumn("vector", F.array(F.lit(1.0), F.lit(2.0))), "m", path, now)
+    hits, misses = incremental.split_vectors(texts, "text", "m", incremental.read_vectors(spark, path), now)
+    assert sorted(r.id for r in hits.collect()) == [1, 3, 4, 5] and [r.text for r in misses.collect()] == ["b"]
+    for model, later in (("other", "2024-01-31"), ("m", "2024-04-01")):  # another model, or too long ago
+        assert incremental.split_vectors(texts, "text", model, incremental.read_vectors(spark, path), F.lit(later).cast("timestamp"))[0].count() == 0
+
+
+def test_examples_take_what_the_references_leave(spark):
+    knowledge = spark.createDataFrame([("k" * 99,)], "text string")
+    refs = spark.createDataFrame([(1, "r" * 500), (2, "s" * 500)], "ord long, text string")
+    examples = spark.createDataFrame([(1, "x" * 900), (2, ""), (3, "y" * 900)], "ord long, text string")
+
+    def parts(limit):
+        return sorted((r.part, r.ord, len(r.text), r.is_cut) for r in publish.inline_document(knowledge, refs, examples, "ord", "text", 0, limit).collect())
+
+    assert parts(10_000) == [("example", 1, 900, False), ("example", 3, 900, False), ("reference", 1, 500, False), ("reference", 2, 500, False)]
+    assert parts(2_900) == [("example", 1, 900, False), ("example", 3, 696, True), ("reference", 1, 500, False), ("reference", 2, 500, False)]
+    assert parts(2_000) == [("reference", 1, 500, False), ("reference", 2, 500, False)]  # under 1,000 characters of room
+    assert parts(1_000) == [("reference", 1, 500, False), ("reference", 2, 198, True)]

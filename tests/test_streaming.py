@@ -53,6 +53,35 @@ def test_state_and_liveness_resume(spark, halves):
     assert rows(runs["liveness"]()) == rows(want)  # nothing new changes nothing
 
 
+def test_snapshots_bound_the_state_folder(spark, tmp_path, monkeypatch):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    source = f"{tmp_path}/source"
+    events.repartition(24, "event_id").write.parquet(source)  # a micro-batch per file
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    stream = E.parse(S._with_lines(raw), "line")
+    want = rows(S._state(spark, SF).select("build", "field", "value", "ord"))
+
+    def state():
+        return rows(live.live_state(spark, root).select("build", "field", "value", "ord"))
+
+    live.run_live_state(stream, "user_id", "event_id", root, every=4)
+    assert state() == want
+    done = live._numbered(spark, f"{root}/snapshots", "s", True)
+    kept = live._numbered(spark, f"{root}/changes", "b", False)
+    assert len(done) == 2 and len(kept) <= 10 and kept[0] == -1 and kept[1] == done[0] + 1
+
+    # lost between writing a snapshot and its marker: the one before it and its changes still hold
+    fs, marker = live._fs(spark, f"{root}/snapshots/s={done[-1]}/_SUCCESS")
+    fs.delete(marker, False)
+    assert live._numbered(spark, f"{root}/snapshots", "s", True) == done[:1] and state() == want
+    # lost between the marker and the clean-up: facts read twice are the same facts
+    live.compact(spark, root, kept[-1])
+    monkeypatch.setattr(live, "_numbered", lambda *a, numbered=live._numbered: [] if a[1].endswith("changes") else numbered(*a))
+    live.compact(spark, root, kept[-1] + 1)
+    assert state() == want
+
+
 def test_log_tail_resumes_without_repeating(spark, halves):
     source, parts, stream = halves
     root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
