@@ -18,7 +18,7 @@ TABLES = {
 
 def test_all_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in entry.queries() and set(ORACLES) <= set(entry.oracle_sql())
 
 
