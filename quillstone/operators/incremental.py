@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..session import materialise
 from .joins import salted_join
 from .ranking import ranked
 
@@ -26,28 +30,38 @@ SET_BLOCK = 1024
 def file_set_key(files: DataFrame, domain: str, file_hash: str, order: str, model: str, tier: str) -> DataFrame:
     """(domain, n, set_key): one key per exact set of files, whatever their order.
 
-    The key is that of the sorted hashes in a row.  A set of more than ``SET_BLOCK`` files is
-    first shortened: each block of sorted hashes becomes the digest of the block, until one
-    block is left.  Sets differ if a hash differs, also where sums would not; no row holds more
-    than a block.  ``order`` tells equal hashes apart; repeated files count.
+    The key is that of the domain, the sorted hashes, model and tier in a row, joined with ':'.
+    Hashes are ranked and joined in blocks of ``SET_BLOCK``; the blocks of a domain then pass
+    one after the other through its digest, so no row or task holds more than a block.
+    ``order`` tells equal hashes apart; repeated files count, null hashes are left out of the key.
     """
-    n = files.groupBy(domain).agg(F.count("*").alias("n"))
     items = files.select(domain, F.col(file_hash).alias("item"), F.col(order).alias("_o"))
-    items = materialise(ranked(items, [F.col("item"), F.col("_o")], "pos", [domain]).select(domain, "pos", "item"), "hashes")
-
-    def joined(group: list[Column]) -> DataFrame:
-        in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])
-        return items.groupBy(*group).agg(F.array_join(in_order, ":").alias("item"))
-
-    while not items.filter(F.col("pos") > SET_BLOCK).isEmpty():
-        long = items.filter(F.col("pos") > SET_BLOCK).select(domain).distinct().withColumn("_long", F.lit(True))
-        items = salted_join(items, long, [domain], F.col("pos"), "left")
-        rest = items.filter(F.col("_long").isNull()).select(domain, "pos", "item")
-        items = items.filter(F.col("_long"))
-        block = joined([F.col(domain), (F.floor((F.col("pos") - 1) / SET_BLOCK) + 1).alias("pos")])
-        items = materialise(rest.unionByName(block.select(domain, "pos", F.sha2(F.col("item").cast("binary"), 256).alias("item"))), "hashes")
-    key = T.content_key(F.col(domain), F.col("item"), F.lit(model), F.lit(tier))
-    return joined([F.col(domain)]).join(n, domain).select(domain, "n", key.alias("set_key"))
+    placed = ranked(items, [F.col("item"), F.col("_o")], "pos", [domain])
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])
+    blocks = placed.groupBy(domain, F.floor((F.col("pos") - 1) / SET_BLOCK).alias("block")).agg(
+        F.count("*").alias("n"), F.count("item").alias("held"), F.array_join(in_order, ":").alias("items"))
+    columns = (domain, "n", "held", "items")
+    kind = files.select(domain).schema[0].dataType
+    types = pa.schema([(domain, to_arrow_type(kind)), ("n", pa.int64()), ("set_key", pa.string())])
+
+    def run(batches):
+        every = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns)))
+        for name, rows in groupby(every, key=lambda row: row[0]):
+            digest, total, between = sha256(), 0, b""
+            if name is not None:
+                digest.update(str(name).encode())
+                between = b":"
+            for _, n, held, text in rows:
+                total += n
+                if held:
+                    digest.update(between + text.encode())
+                    between = b":"
+            digest.update(between + f"{model}:{tier}".encode())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip((name, total, digest.hexdigest()[:16]), types.types)], schema=types)
+
+    dealt = blocks.repartition(domain).sortWithinPartitions(domain, "block")
+    return dealt.select(*columns).mapInArrow(run, f"{domain} {kind.simpleString()}, n long, set_key string")
 
 
 # --- vectors -------------------------------------------------------------------------------------
