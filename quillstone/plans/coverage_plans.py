@@ -191,7 +191,7 @@ _FIRST_WORD = f"{S.word_list('text')}[1]"
 
 def _mentions(spark, sf):
     return table(spark, sf, "documents").select(
-        F.get(T.words(F.col("text")), F.lit(0)).alias("topic"), "doc_id", "source", "lang",
+        T.first_word(F.col("text")).alias("topic"), "doc_id", "source", "lang",
         F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 5).alias("mentions"), (F.col("doc_id") % 10).alias("quality_score"))
 
 

@@ -248,8 +248,10 @@ SELECT doc_id, length(text) // 4 AS tokens, {S.words('text')} AS words, CASE WHE
 def size_estimates(spark, sf):
     d = table(spark, sf, "documents")
     marked = F.concat("text", F.when(F.col("doc_id") % 5 == 0, "## Page 1 ## Page 2 ").otherwise(""))
-    return d.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"),
-                    T.word_count(F.col("text")).cast("long").alias("words"), T.page_count(marked).alias("pages"))
+    counted = d.select("doc_id", "text", marked.alias("marked"), T.word_count(F.col("text")).alias("n"))
+    # what is appended holds markers, so where words count they are those of the text
+    return counted.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), F.col("n").cast("long").alias("words"),
+                          T.page_count(F.col("marked"), F.col("n")).alias("pages"))
 
 
 def _keyword_query(name: str, k: int, stop, shortest: int = 3, longest=None):
