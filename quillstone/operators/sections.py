@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import constants as K, text as T
 
@@ -160,9 +160,8 @@ def _as_entries(sections: DataFrame, url: str) -> DataFrame:
     )
 
 
-def _markdown_rows(frames, key, html) -> Iterator:
-    import pandas as pd
-
+def _markdown(page: str | None) -> str:
+    """Markdown of one page."""
     dropped = {"nav", "header", "footer", "script", "style", "noscript"}
     noise = {"sidebar", "advertisement", "ads", "cookie-banner", "popup", "social-share", "comments"}
     tests = (
@@ -175,15 +174,11 @@ def _markdown_rows(frames, key, html) -> Iterator:
         lambda n: n.attrs.get("id") == "content",
         lambda n: "content" in _classes(n),
     )
-    for frame in frames:
-        out = []
-        for k, page in zip(frame[key], frame[html]):
-            root = _Tree(page or "", dropped).root
-            _drop(root, noise)
-            lines: list[str] = []
-            _render(_pick(root, tests), lines)
-            out.append((k, "\n".join(lines)))
-        yield pd.DataFrame(out, columns=[key, "markdown"])
+    root = _Tree(page or "", dropped).root
+    _drop(root, noise)
+    lines: list[str] = []
+    _render(_pick(root, tests), lines)
+    return "\n".join(lines)
 
 
 def _drop(node, noise):
@@ -246,8 +241,9 @@ def _render(node, lines) -> None:
 
 def html_to_markdown(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, markdown, truncated) per page with at least 50 characters; cut at 50,000."""
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, markdown string"
-    walked = pages.select(key, html).mapInPandas(lambda it: _markdown_rows(it, key, html), schema)
+    # Whole pages go to Python in small batches, as an Arrow batch holds 10,000 of them; the filter below must not walk them again.
+    walk = F.udf(_markdown, StringType(), useArrow=False).asNondeterministic()
+    walked = pages.select(key, walk(html).alias("markdown"))
     tidy = walked.withColumn("markdown", T.strip(F.regexp_replace("markdown", r"\n{3,}", "\n\n")))
     return tidy.filter(F.length("markdown") >= 50).select(
         key, limit_content(F.col("markdown"), MAX_CONTENT, "\n\n*[Content truncated]*").alias("markdown"),
