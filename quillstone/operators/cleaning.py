@@ -139,12 +139,15 @@ def clean_summary(stats: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def nfc(texts):
-    """Canonical composition; Spark has no built-in for it."""
+@F.udf(StringType(), useArrow=False)
+def nfc(text):
+    """Canonical composition; Spark has no built-in for it.
+
+    Whole texts go to Python in small batches; an Arrow batch holds 10,000 of them.
+    """
     import unicodedata
 
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    return None if text is None else unicodedata.normalize("NFC", text)
 
 
 def sanitise_ocr(c: Column, compose: bool = True) -> Column:
