@@ -34,6 +34,18 @@ def test_dense_pairs_multiply_each_pair_of_blocks_once(spark):
     assert len(rows) == len(want) and {(r.a, r.b) for r in rows} == want
 
 
+def test_dense_pairs_repeat_a_row_for_few_blocks(spark):
+    """9,000 rows a side: 8 blocks, not one per 1,000 rows; a block larger than a slice loses nothing."""
+    rng = np.random.default_rng(6)
+    sides = [rng.normal(size=(9000, 4)).round(1) for _ in range(2)]
+    frames = [spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>") for v in sides]
+    unit = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in sides]
+    want = np.argwhere(unit[0] @ unit[1].T >= 0.9999)
+    pairs = Z.dense_pairs(*frames, 0.9999)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(map(tuple, want.tolist()))
+    assert Z.BLOCK_ROWS >= 8 * Z.SLICE
+
+
 def test_keywords_see_the_title_but_numbers_do_not(spark):
     schema = "{0} long, title string, content string, gap_filled boolean"
     left = spark.createDataFrame([(1, "budget pacing rules 7", "daily spend limit works", False)], schema.format("t"))
