@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialise
 from .joins import salted_join
 from .ranking import ranked
 
@@ -34,11 +35,24 @@ def materialise_conflicts(conflicts: DataFrame, atoms: DataFrame, order: str) ->
     }).drop("_a_title", "_a_length", "_b_title", "_b_length")
 
 
+USES = 10_000  # conflicts that one copy of a text serves
+
+
 def with_contents(conflicts: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Add the contents of both atoms, empty for an unknown one."""
+    """Add the contents of both atoms, empty for an unknown one.
+
+    Only texts in use are moved, each once per ``USES`` conflicts that show it.
+    """
+    conflicts = materialise(conflicts, "conflicts")
+    uses = {s: materialise(conflicts.groupBy(f"{s}_id").agg(F.ceil(F.count("*") / USES).cast("int").alias(f"_{s}_parts")), "uses") for s in "ab"}
+    # Dealt while the rows are still narrow.
+    for s in "ab":
+        part = F.pmod(F.xxhash64("conflict_id"), F.col(f"_{s}_parts")).cast("int")
+        conflicts = salted_join(conflicts, uses[s], [f"{s}_id"], F.col("conflict_id"), "left").withColumn(f"_{s}_part", part).drop(f"_{s}_parts")
     for s in "ab":
-        texts = atoms.select(F.col("id").alias(f"{s}_id"), F.col("content").alias(f"{s}_content"))
-        conflicts = salted_join(conflicts, texts, [f"{s}_id"], F.col("conflict_id"), "left")
+        texts = atoms.select(F.col("id").alias(f"{s}_id"), F.col("content").alias(f"{s}_content")).join(uses[s], f"{s}_id").withColumn(
+            f"_{s}_part", F.explode(F.sequence(F.lit(0), F.col(f"_{s}_parts") - 1))).drop(f"_{s}_parts")
+        conflicts = conflicts.join(texts, [f"{s}_id", f"_{s}_part"], "left").drop(f"_{s}_part")
     return conflicts.withColumns({f"{s}_content": F.coalesce(f"{s}_content", F.lit("")) for s in "ab"})
 
 

@@ -88,3 +88,23 @@ def test_links_resolve_like_a_browser(spark):
     html = "".join(f'<a class="k" href="{h}">x</a>' for h in cases)
     got = U.page_links(spark.createDataFrame([(page, html)], "url string, html string"), "url", "html").orderBy("pos").collect()
     assert [r.link for r in got] == [u for u in cases.values() if u]
+
+
+def test_contents_of_conflicts_are_not_repeated_for_every_salt(spark, monkeypatch):
+    """A hot atom, an unused one, an unknown one and a null id; no text passes through the salted join."""
+    from quillstone.operators import conflicts as X
+
+    salted = X.salted_join
+
+    def narrow(big, small, *args, **kw):
+        assert not [c for c in small.columns if c.endswith("content")]
+        return salted(big, small, *args, **kw)
+
+    monkeypatch.setattr(X, "salted_join", narrow)
+    monkeypatch.setattr(X, "USES", 3)
+    atoms = spark.createDataFrame([("x", "text x"), ("y", "text y"), ("z", "unused")], "id string, content string")
+    rows = [(f"c{i}", "x", "y" if i % 2 else "gone") for i in range(20)] + [("c20", None, "x")]
+    out = X.with_contents(spark.createDataFrame(rows, "conflict_id string, a_id string, b_id string"), atoms)
+    known = {"x": "text x", "y": "text y"}
+    assert sorted(tuple(r) for r in out.select("conflict_id", "a_content", "b_content").collect()) == sorted(
+        (c, known.get(a, ""), known.get(b, "")) for c, a, b in rows)
