@@ -1,6 +1,7 @@
 """Stated cases for rules that the synthetic tables do not reach."""
 
 import numpy as np
+import pytest
 
 from quillstone.operators import dedup as D, publish as P, similarity as Z, urls as U
 
@@ -108,3 +109,10 @@ def test_contents_of_conflicts_are_not_repeated_for_every_salt(spark, monkeypatc
     known = {"x": "text x", "y": "text y"}
     assert sorted(tuple(r) for r in out.select("conflict_id", "a_content", "b_content").collect()) == sorted(
         (c, known.get(a, ""), known.get(b, "")) for c, a, b in rows)
+
+
+def test_tfidf_does_not_repeat_the_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "a b b", 2), (2, "b c", 1)], "id long, t string, copies long")
+    vec = Z.tfidf(docs, "id", "t")
+    assert "_salt" not in vec._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.term): (r.tf, r.df) for r in vec.collect()} == {(1, "a"): (1 / 3, 2), (1, "b"): (2 / 3, 3), (2, "b"): (0.5, 3), (2, "c"): (0.5, 1)}
