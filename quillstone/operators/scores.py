@@ -281,12 +281,10 @@ def cost(usage: DataFrame, group: list[str]) -> DataFrame:
         return out
 
     inp, out = F.col("input_tokens").cast("decimal(18,0)"), F.col("output_tokens").cast("decimal(18,0)")
-    # Tokens per model are summed first: prices apply to a handful of rows per group.
-    per_model = usage.groupBy(*group, "model").agg(
-        F.sum(inp).cast("decimal(20,0)").alias("input_tokens"), F.sum(out).cast("decimal(20,0)").alias("output_tokens"))
-    inp, out = F.col("input_tokens"), F.col("output_tokens")
-    return per_model.withColumn("usd", (inp * price(0) + out * price(1)) / F.lit(1000000)).groupBy(*group).agg(
-        F.sum("usd").cast("decimal(18,6)").alias("cost_usd"), F.sum(inp + out).cast("long").alias("tokens"))
+    # The price is known in the row, so one aggregate does; dollars are divided once per group.
+    return usage.groupBy(*group).agg(
+        F.sum((inp * price(0) + out * price(1)).cast("decimal(28,4)")).alias("_usd"), F.sum(inp + out).cast("long").alias("tokens")).select(
+        *group, (F.col("_usd") / F.lit(1000000)).cast("decimal(18,6)").alias("cost_usd"), "tokens")
 
 
 def dashboard(builds: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -116,3 +116,16 @@ def test_tfidf_does_not_repeat_the_vocabulary(spark):
     vec = Z.tfidf(docs, "id", "t")
     assert "_salt" not in vec._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.id, r.term): (r.tf, r.df) for r in vec.collect()} == {(1, "a"): (1 / 3, 2), (1, "b"): (2 / 3, 3), (2, "b"): (0.5, 3), (2, "c"): (0.5, 1)}
+
+
+def test_cost_sums_tokens_and_dollars_in_one_aggregate(spark):
+    from quillstone.functions import constants as K
+    from quillstone.operators import scores as R
+
+    model, (a, b) = next(iter(K.MODEL_PRICES.items()))
+    rows = [(1, model, 1_000_000, 2_000_000), (1, "unknown", 3, 1_000_000), (2, model, 0, 1)]
+    out = R.cost(spark.createDataFrame(rows, "g long, model string, input_tokens long, output_tokens long"), ["g"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    got = {r.g: (float(r.cost_usd), r.tokens) for r in out.collect()}
+    dollars = float(a) + 2 * float(b) + (3 * float(K.DEFAULT_PRICE[0]) + 1_000_000 * float(K.DEFAULT_PRICE[1])) / 1_000_000
+    assert got[1] == (pytest.approx(dollars, abs=1e-6), 4_000_003) and got[2][1] == 1
