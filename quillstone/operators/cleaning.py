@@ -81,19 +81,25 @@ STEPS = (
 )
 
 
+def split_lines(c: Column) -> Column:
+    """Lines of a text, at least one: an empty text is one empty line."""
+    return F.when(F.length(c) == 0, F.array(F.lit(""))).otherwise(T.splitlines(c))
+
+
 def clean(
     df: DataFrame, text: str = "text", out: str = "cleaned", enabled: bool = True,
-    form_feed: bool = False,
+    form_feed: bool = False, blank: bool = False,
 ) -> DataFrame:
     """Add the cleaned text and a ``clean_stats`` struct, one row in, one row out.
 
-    Blank text passes through.  ``form_feed`` also removes blank pages, which
+    Blank text passes through, unless ``blank`` has it cleaned too.  ``form_feed`` also removes blank pages, which
     needs the raw text because line splitting consumes form feeds.
     """
     src = F.col(text)
-    active = F.lit(enabled) & (F.length(T.strip(src)) > 0)
+    active = F.lit(enabled) & (F.lit(blank) | (F.length(T.strip(src)) > 0))
     raw = drop_blank_pages(src) if form_feed else src
-    work = df.withColumn("_l0", T.splitlines(src)).withColumn("_l1", T.splitlines(raw))
+    split = split_lines if blank else T.splitlines
+    work = df.withColumn("_l0", split(src)).withColumn("_l1", split(raw))
     last, flags = "_l1", []
     if form_feed:
         flags.append(F.when(F.col("_l0") != F.col("_l1"), F.lit("blank_pages")))

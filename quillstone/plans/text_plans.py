@@ -73,7 +73,7 @@ def _step_query(label: str, step, ids: str):
 
     @query(f"clean_{label}", ids, sql)
     def run(spark, sf):
-        d = noisy(spark, sf).withColumn("l", step(T.splitlines(F.col("text"))))
+        d = noisy(spark, sf).withColumn("l", step(C.split_lines(F.col("text"))))
         return d.select("doc_id", F.array_join("l", "\n").alias("cleaned"), F.size("l").alias("n_lines"))
 
 
@@ -109,7 +109,7 @@ FROM s0 {joins}"""
 
 @query("clean_transcript", "C8 S1", _full_sql())
 def clean_transcript(spark, sf):
-    d = C.clean(noisy(spark, sf))
+    d = C.clean(noisy(spark, sf), blank=True)
     return d.select(
         "doc_id", "cleaned",
         *[F.col(f"clean_stats.{c}").alias(c) for c in (
@@ -219,7 +219,7 @@ def _level_sql(x: str) -> str:
 SELECT doc_id, CAST(sum(CASE WHEN lv = 1 THEN 1 ELSE 0 END) AS BIGINT) AS level_1, CAST(sum(CASE WHEN lv = 2 THEN 1 ELSE 0 END) AS BIGINT) AS level_2, count(*) AS n_lines
 FROM (SELECT doc_id, {_level_sql('x')} AS lv FROM x) GROUP BY doc_id""")
 def heading_levels(spark, sf):
-    d = noisy(spark, sf).select("doc_id", F.transform(T.splitlines(F.col("text")), lambda x: C.heading_level(x)).alias("lv"))
+    d = noisy(spark, sf).filter(F.col("text").isNotNull()).select("doc_id", F.transform(C.split_lines(F.col("text")), lambda x: C.heading_level(x)).alias("lv"))
 
     def n(level: int):
         return F.size(F.filter("lv", lambda v: v == level)).cast("long")
