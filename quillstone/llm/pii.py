@@ -43,7 +43,8 @@ BASE = {
 KINDS = tuple(BASE)
 #: What a text must hold for a kind to be looked for at all.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
+#: A mention from its first digit or ``@`` on; what its first word holds before that is the end of the gap.
+MENTION = r"[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 SPAN = "array<struct<start:bigint,end:bigint,of:string>>"
 ROUNDS = 3
 DAMPING = 2.0  # edges without trust that every pattern is given
@@ -139,9 +140,18 @@ def mentions(docs: DataFrame, text: Column) -> DataFrame:
     parts = rows.select(
         F.sha2(F.col("text").cast("binary"), 256).alias("text_key"), *matched(F.col("text"), MENTION, "mention", F.lit(True))
     ).select("text_key", located("mention").alias("spans"), F.col("mention_gaps").alias("gaps"))
-    one = parts.select("text_key", "gaps", F.posexplode("spans").alias("i", "span"))
-    left = F.lower(F.substring(F.element_at("gaps", F.col("i") + 1), -CONTEXT_CHARS, CONTEXT_CHARS))
-    right = F.lower(F.substring(F.element_at("gaps", F.col("i") + 2), 1, CONTEXT_CHARS))
+    # read backwards, the start of a mention's first word is a match at the front
+    heads = F.transform(F.slice("gaps", F.lit(1), F.size("spans")), lambda g: F.reverse(F.regexp_extract(F.reverse(g), r"^\S*+", 0)))
+    parts = parts.select("text_key", "spans", "gaps", heads.alias("heads"))
+    head = lambda i: F.coalesce(F.get("heads", i), F.lit(""))
+    gap = lambda i: F.left(F.get("gaps", i), F.length(F.get("gaps", i)) - F.length(head(i)))
+    # a mention takes its context along, not all gaps of its text
+    around = F.transform("spans", lambda s, i: F.struct(
+        F.struct((s["start"] - F.length(head(i))).alias("start"), F.concat(head(i), s["of"]).alias("of")).alias("span"),
+        F.lower(F.right(gap(i), F.lit(CONTEXT_CHARS))).alias("left"), F.lower(F.left(gap(i + 1), F.lit(CONTEXT_CHARS))).alias("right"),
+    ))
+    one = parts.select("text_key", F.explode(around).alias("m")).select("text_key", "m.*")
+    left, right = F.col("left"), F.col("right")
     lead = F.length(F.regexp_extract("span.of", r"^[^0-9\p{L}@+]*", 0))
     core = F.regexp_replace("span.of", r"^[^0-9\p{L}@+]+|[^0-9\p{L}]+$", "")
     words = one.select(
